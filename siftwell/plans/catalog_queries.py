@@ -1,0 +1,4 @@
+"""Named queries and their SQL counterparts."""
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
