@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftwell.session import ensure_checkpoint_dir, share_code
 
@@ -43,3 +44,28 @@ def ascii_lower(col: Column) -> Column:
 def wide(df: DataFrame, columns: list[str]) -> int:
     """Shuffle partitions for an explicit repartition: what the session is set to."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_texts(docs: DataFrame, id_col: str, text_col: str, schema: str, worker) -> DataFrame:
+    """Each (id, text) through ``worker()``, which is made once a task and maps two lists to columns.
+
+    ``schema`` lists the columns behind ``doc_id``; the worker returns the row's position in its batch
+    (so that one text may give several rows) and those columns. Only id and text leave the scan.
+    """
+    import pyarrow as pa
+
+    prepare(docs.sparkSession)
+    pair = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
+    out = StructType([pair.schema["doc_id"], *StructType.fromDDL(schema).fields])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target, work = to_arrow_schema(out), worker()
+        for batch in batches:
+            at, columns = work(batch.column(1).to_pylist())
+            ids = batch.column(0) if at is None else batch.column(0).take(pa.array(at, pa.int64()))
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, list(target)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.cast(target.field(0).type), *arrays], schema=target)
+
+    return pair.mapInArrow(run, out)

@@ -9,6 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwell.llm.common import documents
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from siftwell.llm.token_counts import token_counts
+
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from siftwell.llm.sentencepieces import piece_digests
+
+    return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.exact_dedup import exact_dedup
 
@@ -16,7 +32,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op9_exact_dedup]
+    found = [op4_token_counts, op9_exact_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
