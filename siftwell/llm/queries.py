@@ -25,6 +25,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from siftwell.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.exact_dedup import exact_dedup
 
@@ -32,7 +40,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts, op9_exact_dedup, op10_sentencepiece]
+    found = [op4_token_counts, op7_packing, op9_exact_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
