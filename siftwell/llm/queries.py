@@ -33,6 +33,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.quality import quality_rules
+
+    return quality_rules(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.exact_dedup import exact_dedup
 
@@ -40,7 +46,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts, op7_packing, op9_exact_dedup, op10_sentencepiece]
+    found = [op4_token_counts, op7_packing, op8_quality_rules, op9_exact_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
