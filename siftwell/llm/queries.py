@@ -25,6 +25,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,7 +52,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts, op7_packing, op8_quality_rules, op9_exact_dedup, op10_sentencepiece]
+    found = [op4_token_counts, op6_simhash, op7_packing, op8_quality_rules, op9_exact_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
