@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwell.llm.common import documents
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.suffixes import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,7 +58,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts, op6_simhash, op7_packing, op8_quality_rules, op9_exact_dedup, op10_sentencepiece]
+    found = [op2_suffix_dedup, op4_token_counts, op6_simhash, op7_packing, op8_quality_rules, op9_exact_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
