@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwell.llm.common import documents
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.toxicity import toxicity, train
+
+    docs = documents(spark, sf_dir)
+    return toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.suffixes import repeated_passages
 
@@ -58,7 +65,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_suffix_dedup, op4_token_counts, op6_simhash, op7_packing, op8_quality_rules, op9_exact_dedup, op10_sentencepiece]
+    found = [op1_toxicity, op2_suffix_dedup, op4_token_counts, op6_simhash, op7_packing, op8_quality_rules, op9_exact_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
