@@ -38,6 +38,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.lm_scoring import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.simhash import near_duplicates
 
@@ -65,7 +71,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_suffix_dedup, op4_token_counts, op6_simhash, op7_packing, op8_quality_rules, op9_exact_dedup, op10_sentencepiece]
+    found = [op1_toxicity, op2_suffix_dedup, op4_token_counts, op5_lm_scoring, op6_simhash, op7_packing, op8_quality_rules, op9_exact_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
