@@ -22,6 +22,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.lines import fuzzy_lines
+
+    return fuzzy_lines(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,7 +77,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_suffix_dedup, op4_token_counts, op5_lm_scoring, op6_simhash, op7_packing, op8_quality_rules, op9_exact_dedup, op10_sentencepiece]
+    found = [op1_toxicity, op2_suffix_dedup, op3_line_dedup, op4_token_counts, op5_lm_scoring, op6_simhash, op7_packing, op8_quality_rules, op9_exact_dedup, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 

@@ -178,3 +178,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, id_col:
     rest = marked.where("hot is null").select("doc_id", "fp").join(named.where(F.col("n") <= most).select("fp", "component_id"), "fp")
     every = marked.where("hot").select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
     return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_near(docs: DataFrame, distance: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, that of the smallest id; all columns stay.
+
+    Documents without an id have no smallest; they stay. Of rows that repeat an id all or none stay.
+    """
+    found = near_duplicates(docs, distance, width, id_col, text_col)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
