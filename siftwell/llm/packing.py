@@ -9,6 +9,7 @@ which sequences, and the pieces find their place by a rank that is computed in p
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -23,6 +24,8 @@ from siftwell.llm.pretokens import blocks, segments, spaced
 from siftwell.llm.wordcache import WordCache
 
 CAPACITY = 2048
+#: Words whose ids a worker remembers, in each of two generations.
+WORDS = 500_000
 #: Pieces of one length that are numbered by one task.
 RANKED_TOGETHER = 4000
 
@@ -102,16 +105,17 @@ class Ids:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         library = Tokenizer.from_file(path)
         special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.special = list(special)
         self._special = {s: array("I", [i]).tobytes() for s, i in special.items()}
 
-        def ids(block: str) -> bytes:
-            return array("I", library.encode(block, add_special_tokens=False).ids).tobytes()
+        def ids(blocks: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(blocks, add_special_tokens=False)]
 
-        self.led = WordCache(lambda part: ids(" " + part))
-        self.bare = WordCache(ids)
+        self.led = WordCache(None, WORDS, lambda parts: ids([" " + p for p in parts]))
+        self.bare = WordCache(None, WORDS, ids)
 
     def of(self, text: str) -> bytes:
         texts, specials = segments(text, self.special)
