@@ -25,7 +25,7 @@ LEAST, GRAM = 50, 8
 #: Words in front of a selected position that a window of LEAST words can hold.
 LEFT = LEAST - GRAM
 SPAN = LEFT + LEAST
-#: Runs of more suffixes are matched over all tasks, by their windows, instead of in one.
+#: Runs of more suffixes are sorted over all tasks, instead of matched in one.
 HOT = 20_000
 #: Suffixes that are matched at a time in a task.
 TOGETHER = 20_000
@@ -151,7 +151,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return map_texts(docs, "k", "text", "h long, at long", worker).withColumnRenamed("doc_id", "k")
 
 
-_CONTEXT = "h long, hot boolean, ord long, k long, at long, n_words long, around binary"
+_CONTEXT = "h long, hot boolean, ord long, k long, at long, n_words long, left binary, right binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,19 +161,28 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = word_hashes(text)
             at = np.array([f["at"] for f in found], np.int64)
             n = len(at)
-            around = np.ascontiguousarray(surroundings(words, at))
-            offsets = pa.py_buffer((np.arange(n + 1) * (4 * SPAN)).astype(np.int32))
-            binary = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(around)])
+            around = surroundings(words, at)
             columns = [
                 pa.array([f["h"] for f in found], pa.int64()), pa.array([f["hot"] for f in found], pa.bool_()), pa.array([order] * n, pa.int64()),
-                pa.array([k] * n, pa.int64()), pa.array(at), pa.array([len(words)] * n, pa.int64()), binary,
+                pa.array([k] * n, pa.int64()), pa.array(at), pa.array([len(words)] * n, pa.int64()), _binary(around[:, LEFT - 1 :: -1]), _binary(around[:, LEFT:]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "hot", "ord", "k", "at", "n_words", "around"])
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "hot", "ord", "k", "at", "n_words", "left", "right"])
 
 
-def _arrays(table: pa.Table) -> list[np.ndarray]:
-    around = np.frombuffer(b"".join(table["around"].to_pylist()), np.uint32).reshape(-1, SPAN)
-    return [*[table[c].to_numpy().astype(np.int64) for c in ("h", "ord", "k", "at", "n_words")], around]
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes as one value."""
+    rows = np.ascontiguousarray(rows)
+    offsets = pa.py_buffer((np.arange(len(rows) + 1) * rows.itemsize * rows.shape[1]).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows)])
+
+
+def _matrix(table: pa.Table | pa.RecordBatch, column: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(table[column].to_pylist()), np.uint32).reshape(-1, width)
+
+
+def _arrays(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    around = np.concatenate([_matrix(table, "left", LEFT)[:, ::-1], _matrix(table, "right", LEAST)], axis=1)
+    return [*[np.asarray(table[c]).astype(np.int64) for c in ("h", "ord", "k", "at", "n_words")], around]
 
 
 def _match_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,24 +205,72 @@ def _match_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done(held)
 
 
+def _shared_with_neighbours(side: str, width: int):
+    """Adds ``<side>_shared`` to rows sorted by h and ``side``: the words that a neighbour has in common.
+
+    A row at the edge of a partition may have its like in the next; it counts as wholly shared.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        before: tuple[int, np.ndarray] | None = None
+
+        def done(batch: pa.RecordBatch, after: tuple[int, np.ndarray] | None) -> pa.RecordBatch:
+            h, words = np.asarray(batch["h"]), _matrix(batch, side, width)
+            same = (words[1:] == words[:-1]) & (h[1:] == h[:-1])[:, None]
+            between = np.cumprod(same, axis=1).sum(axis=1)
+
+            def edge(other, own: int) -> int:
+                if other is None:
+                    return width
+                return int(np.cumprod(other[1] == words[own]).sum()) if other[0] == h[own] else 0
+
+            lcp = np.concatenate([[edge(before, 0)], between, [edge(after, -1)]])
+            shared = np.maximum(lcp[:-1], lcp[1:])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared, pa.int32())], names=[*batch.schema.names, f"{side}_shared"])
+
+        for batch in batches:
+            if batch.num_rows:
+                if held is not None:
+                    yield done(held, (batch["h"][0].as_py(), _matrix(batch.slice(0, 1), side, width)[0]))
+                    before = (held["h"][-1].as_py(), _matrix(held.slice(held.num_rows - 1), side, width)[0])
+                held = batch
+        if held is not None:
+            yield done(held, None)
+
+    return measure
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window around the suffixes of very long runs, by key."""
+    """The windows around the suffixes of very long runs that can repeat, by key."""
     for batch in batches:
-        h, order, k, at, n_words, around = _arrays(pa.Table.from_batches([batch]))
+        h, order, k, at, n_words, around = _arrays(batch)
         keys, there = window_keys(around, at, n_words)
         keys = _mixed(keys + _mixed(h.view(np.uint64))[:, None] + np.arange(LEFT + 1, dtype=np.uint64) * np.uint64(_FACTOR))
+        before = LEFT - np.arange(LEFT + 1)
+        there &= (before <= np.asarray(batch["left_shared"])[:, None]) & (LEAST - before <= np.asarray(batch["right_shared"])[:, None])
         row, col = np.nonzero(there)
         yield pa.RecordBatch.from_pydict({"key": pa.array(keys[row, col].view(np.int64)), "ord": pa.array(order[row]), "k": pa.array(k[row]), "first": pa.array(at[row] - LEFT + col)})
 
 
-def _match_windows(hot: DataFrame) -> DataFrame:
-    """As :func:`match_runs`, for runs too long for one task: windows are counted before they are joined."""
-    windows = hot.mapInArrow(_windows, "key long, ord long, k long, first long").distinct()
-    best = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "k", "first")).alias("best")).where("n > 1")
+def _match_windows(hot: DataFrame, width: int) -> DataFrame:
+    """As :func:`match_runs`, for runs too long for one task.
+
+    The suffixes are sorted over all tasks, by the words behind them and by those before them; what
+    neighbours share bounds the windows that can repeat. Those are counted before they are joined.
+    """
+    hot = hot.drop("hot")
+    for side, words in (("right", LEAST), ("left", LEFT)):
+        shape = ", ".join(f"{name} {kind}" for name, kind in [*hot.dtypes, (f"{side}_shared", "int")])
+        hot = hot.repartitionByRange(width, "h", side, "k").sortWithinPartitions("h", side).mapInArrow(_shared_with_neighbours(side, words), shape)
+    windows = pinned(hot.mapInArrow(_windows, "key long, ord long, k long, first long"))
+    place = F.struct("ord", "k", "first")
+    best = windows.groupBy("key").agg(F.min(place).alias("best"), F.max(place).alias("last")).where("best != last").drop("last")
     both = windows.join(best, "key")
     own = (F.col("k") == F.col("best.k")) & (F.col("first") - F.col("best.first") < LEAST)
     end = (F.col("first") + LEAST).alias("end")
-    return both.select("k", "first", end, F.lit(True).alias("kept")).unionByName(both.where(~own).select("k", "first", end, F.lit(False).alias("kept")))
+    # one row says both: a window that repeats, and whether an earlier copy makes it superfluous
+    return both.select("k", "first", end, F.explode(F.when(own, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))).alias("kept"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -242,17 +299,15 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prepare(docs.sparkSession)
     own = docs.select(_key(docs, id_col, text_col).alias("k"), docs[id_col].try_cast("long").alias("ord"), text_of(docs, text_col).alias("text"))
     suffixes = pinned(_suffixes(own.select("k", "text")))
-    often = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = pinned(suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     found = suffixes.join(often, "h").groupBy("k").agg(F.collect_set(F.struct("at", "h", (F.col("n") > HOT).alias("hot"))).alias("found"))
     last = F.coalesce("ord", F.lit((1 << 63) - 1)).alias("ord")
     contexts = own.join(found, "k").select("k", last, "text", "found").mapInArrow(_contexts, _CONTEXT)
-    contexts = pinned(contexts)
     schema = "k long, first long, end long, kept boolean"
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = contexts.where(~F.col("hot")).repartition(width, "h").sortWithinPartitions("h").mapInArrow(_match_sorted, schema)
-    hot = contexts.where("hot")
-    if not hot.isEmpty():
-        spans = spans.unionByName(_match_windows(hot))
+    if not often.where(F.col("n") > HOT).isEmpty():
+        spans = spans.unionByName(_match_windows(contexts.where("hot"), width))
     lists = spans.groupBy("k").agg(F.collect_set(F.struct("first", "end", "kept")).alias("spans"))
     span = "array<struct<first:bigint,end:bigint>>"
     return lists.mapInArrow(_merge, f"k long, repeated {span}, later {span}")
