@@ -11,6 +11,10 @@ ZERO_WIDTH = "​‌‍﻿"
 TOKEN_SPLIT = "[ \\t\\n\\r\\f]+"
 
 
+#: Parts of a page that are not shown.
+HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->"
+
+
 def is_blank(text: Column) -> Column:
     """Nothing but Unicode white space."""
     return F.length(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]", "")) == 0
@@ -33,7 +37,7 @@ def words(text: Column) -> Column:
 
 def html_text(html: Column) -> Column:
     """Visible text of a page: scripts, styles, head and comments go, then tags; common entities are decoded."""
-    text = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
     for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(plain))
