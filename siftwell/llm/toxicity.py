@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import map_texts, pinned, prepare, text_of
 from siftwell.llm.wordcache import WordCache
 
-#: Labelled documents that the lexicon and the model are learned from, at most; chosen by a hash of the id.
-TRAINING_ROWS = 40_000
+#: Labelled documents, toxic and other, that the lexicon and the model are learned from, at most; chosen by a
+#: hash of the id. The others are weighed by how many they stand for.
+TRAINING_TOXIC, TRAINING_OTHER = 3_000, 5_000
 #: Stems kept at most, and the documents a stem must occur in.
 LEXICON_TERMS, LEAST_DOCS = 400, 4
 #: Stem lengths tried, and the least length at which one edit is allowed.
@@ -37,7 +38,8 @@ WINDOW = 6
 #: Words that announce talk about a term rather than its use.
 MENTION = {"word", "words", "term", "called", "said", "says", "quote", "quoted", "quotes", "wrote", "writes", "insult", "slur", "mot", "wort", "palabra"}
 FEATURES = ["bias", "exact", "fuzzy", "quoted", "dense", "best"]
-_word = re.compile(r"[^\W_](?:[\w@$*]*[^\W_])?")
+_word = re.compile(r"[\w@$*]+")
+NOTHING = (0.0, 0.0)
 _OPEN, _CLOSE = "\"'([{“‘«„‹", "\"')]}”’»“›"
 
 
@@ -63,7 +65,7 @@ class Lexicon:
                     self.term.append(None)
                 node = self.children[node][c]
             self.term[node] = t
-        self.memo = WordCache(self.match, 200_000)
+        self.memo = WordCache(lambda w: self.match(w.strip("_@$*")), 200_000)
 
     def match(self, word: str) -> tuple[float, float]:
         """Largest weight of a stem that ``word`` begins with, and of one it begins with but for one edit."""
@@ -106,11 +108,16 @@ class Lexicon:
 
     def features(self, text: str) -> list[float]:
         """Sums over the matches of a text, in the order of FEATURES."""
-        found = list(_word.finditer(text))
-        if not found:
+        lower = text.lower()
+        different = list(set(_word.findall(lower)))
+        telling = {w: ef for w, ef in zip(different, self.memo.all(different), strict=True) if ef != NOTHING}
+        if not telling:
             return [1.0, 0, 0, 0, 0, 0]
-        words = [m.group().lower() for m in found]
-        hits = [(i, e, f) for i, (e, f) in enumerate(self.memo.all(words)) if e or f]
+        # lower-casing can change the length of a text; then its places are those of the lower-cased text
+        text = text if len(text) == len(lower) else lower
+        found = list(_word.finditer(lower))
+        words = [m.group() for m in found]
+        hits = [(i, *telling[w]) for i, w in enumerate(words) if w in telling]
         exact = fuzzy = quoted = dense = best = 0.0
         for k, (i, e, f) in enumerate(hits):
             m = found[i]
@@ -132,7 +139,7 @@ class Lexicon:
 
         def changed(m: re.Match) -> str:
             w = m.group()
-            return w[:2] + w[3:] if len(w) > FUZZY_FROM and self.memo.all([w.lower()])[0][0] else w
+            return w[:2] + w[3:] if len(w) > FUZZY_FROM and self.match(w.lower())[0] else w
 
         return _word.sub(changed, text)
 
@@ -155,7 +162,7 @@ def _stems(training: DataFrame) -> list:
     stems = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda n: F.substring(w, F.lit(1), n))))
     toxic = training.where("toxic = 1").select(F.explode(F.array_distinct(stems)).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("bad"))
     toxic = pinned(toxic.where(F.col("bad") >= LEAST_DOCS))
-    # other documents are counted for the stems of toxic ones only; those are bounded by TRAINING_ROWS
+    # other documents are counted for the stems of toxic ones only; those are bounded by TRAINING_TOXIC
     clean = training.where("toxic = 0").select(F.explode(F.array_distinct(stems)).alias("stem")).join(toxic.select("stem"), "stem", "left_semi")
     clean = clean.groupBy("stem").agg(F.count(F.lit(1)).alias("fine"))
     both = toxic.join(clean, "stem", "left").na.fill(0, ["fine"])
@@ -199,31 +206,38 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, s
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Lexicon and weights from labelled rows whose crc32 of the id is not 0 modulo 5, TRAINING_ROWS at most.
+    """Lexicon and weights from labelled rows whose crc32 of the id is not 0 modulo 5, up to a bound of each kind.
 
     Without labels of both kinds the model has no terms and scores everything 0.
     """
     prepare(docs.sparkSession)
     marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    marks = pinned(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS))
+    n = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = marks.where("toxic = 1").orderBy(*order).limit(TRAINING_TOXIC).unionByName(marks.where("toxic = 0").orderBy(*order).limit(TRAINING_OTHER))
+    marks = pinned(chosen)
     texts = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
-    training = pinned(texts.join(F.broadcast(marks), "doc_id"))
+    training = pinned(texts.join(F.broadcast(marks), "doc_id").repartition("doc_id"))
     terms = choose_terms(_stems(training))
 
-    def worker():
-        lexicon = Lexicon(terms)
-        return lambda texts: (None, [[lexicon.features(f(t)) for t in texts] for f in (str, lexicon.misspelt, lexicon.mentioning)])
-
-    shape = "x array<double>, misspelt array<double>, mentioning array<double>"
-    found = map_texts(training, "doc_id", "text", shape, worker).join(F.broadcast(marks), "doc_id")
     # toxic texts are learned from as they are and misspelt, the others as they are and with quotations
-    other = F.when(F.col("toxic") == 1, F.col("misspelt")).otherwise(F.col("mentioning"))
-    rows = found.select("doc_id", "toxic", F.posexplode(F.array("x", other)).alias("variant", "x")).orderBy("doc_id", "variant").collect()
+    def features(toxic: int):
+        def worker():
+            lexicon = Lexicon(terms)
+            variant = lexicon.misspelt if toxic else lexicon.mentioning
+            return lambda texts: (None, [[lexicon.features(f(t)) for t in texts] for f in (str, variant)])
+
+        own = map_texts(training.where(F.col("toxic") == toxic), "doc_id", "text", "x array<double>, y array<double>", worker)
+        return own.select("doc_id", F.lit(toxic).alias("toxic"), F.posexplode(F.array("x", "y")).alias("variant", "x"))
+
+    rows = features(0).unionByName(features(1)).orderBy("doc_id", "toxic", "variant").collect()
     y = np.array([r["toxic"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Model({}, [-30.0] + [0.0] * (len(FEATURES) - 1))
-    return Model(terms, fit(np.array([r["x"] for r in rows]), y, np.array([VARIANT_WEIGHT if r["variant"] else 1.0 for r in rows])))
+    taken = {0: min(n[0], TRAINING_OTHER), 1: min(n[1], TRAINING_TOXIC)}
+    weight = np.array([(VARIANT_WEIGHT if r["variant"] else 1.0) * n[r["toxic"]] / taken[r["toxic"]] for r in rows])
+    return Model(terms, fit(np.array([r["x"] for r in rows]), y, weight))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
