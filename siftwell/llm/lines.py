@@ -22,8 +22,8 @@ from siftwell.llm.graph import components
 
 #: Characters of a shingle, least similarity of a link.
 SHINGLE, LEAST = 5, 0.8
-#: Bands of signature values: a pair at LEAST shares a band with probability 1 - (1 - 0.8**3)**10 > 0.999.
-BANDS, ROWS = 10, 3
+#: Bands of signature values: a pair at LEAST shares a band with probability 1 - (1 - 0.8**3)**8 > 0.996.
+BANDS, ROWS = 8, 3
 #: Buckets of more lines are linked inside a task instead of pair by pair; past TILE lines, by pairs of tiles.
 HOT, TILE = 16, 4000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -41,19 +41,34 @@ def shingles(line: str) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(29)))
 
 
-_SEEDS = np.array([pow(0xBF58476D1CE4E5B9, i + 1, 1 << 64) | 1 for i in range(BANDS * ROWS)], np.uint64)
-
-
-def bands(found: np.ndarray) -> list[int]:
-    """One key for each band of the MinHash signature of a shingle set."""
-    low = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 4096):
-        mixed = found[at : at + 4096, None] * _SEEDS[None, :]
-        np.minimum(low, (mixed ^ (mixed >> np.uint64(31))).min(axis=0), out=low)
-    keys = np.zeros(BANDS, np.uint64)
-    for row in low.reshape(BANDS, ROWS).T:
-        keys = (keys ^ (keys >> np.uint64(31))) * _MULTIPLY + row
-    return (keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+_SEEDS = np.array([pow(0x9E3779B1, i + 1, 1 << 32) | 1 for i in range(BANDS * ROWS)], np.uint32)
+_NONE = np.uint32(0xFFFFFFFF)
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    """Keys (lines, BANDS) of the MinHash signatures of all ``lines``, none of them empty, in one sweep."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    first = np.cumsum(sizes) - sizes
+    h = np.zeros(len(points), np.uint64)
+    padded = np.concatenate([points.astype(np.uint64) + np.uint64(1), np.zeros(SHINGLE, np.uint64)])
+    left = np.repeat(first + sizes, sizes) - np.arange(len(points))  # characters to the end of the line
+    with np.errstate(over="ignore"):
+        for k in range(SHINGLE):
+            h = (h ^ (h >> np.uint64(29))) * _MULTIPLY + np.where(left > k, padded[k : k + len(points)], np.uint64(0))
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        small = (h >> np.uint64(32)).astype(np.uint32)
+        # a shingle lies in its line; a line shorter than one is one shingle
+        outside = (left < SHINGLE) & (np.arange(len(points)) > np.repeat(first, sizes))
+        keys = np.zeros((BANDS, len(lines)), np.uint64)
+        for i, seed in enumerate(_SEEDS):
+            mixed = small * seed
+            mixed ^= mixed >> np.uint32(15)
+            mixed[outside] = _NONE
+            low = np.minimum.reduceat(mixed, first).astype(np.uint64)
+            band = i // ROWS
+            keys[band] = (keys[band] ^ (keys[band] >> np.uint64(31))) * _MULTIPLY + low + np.uint64(1)
+        return (keys * _MULTIPLY + np.arange(BANDS, dtype=np.uint64)[:, None]).T.copy().view(np.int64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -62,20 +77,21 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, h`` of every band of the different lines of each batch of texts."""
+    """``band, key, h`` of every band of the different lines of each batch of texts."""
     for batch in batches:
         held: dict[str, int] = {}
         for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held[line] = h
-        keys = [bands(shingles(line)) for line in held]
+        keys = bands(list(held)) if held else np.empty((0, BANDS), np.int64)
         yield pa.RecordBatch.from_pydict({
-            "key": pa.array([k for row in keys for k in row], pa.int64()),
+            "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(held))),
+            "key": pa.array(keys.reshape(-1)),
             "h": pa.array(np.repeat(np.fromiter(held.values(), np.int64, len(held)), BANDS)),
         })
 
 
-def link_lines(ids: list[int], lines: list[str]) -> list[tuple[int, int]]:
-    """A spanning forest of the similar lines among ``lines``."""
+def link_lines(ids: list[int], lines: list[str], roots: list[int]) -> list[tuple[int, int]]:
+    """Edges that, with those of equal ``roots``, join what the similar lines among ``lines`` would join."""
     order = sorted(range(len(ids)), key=lambda i: (len(lines[i]), ids[i]))
     sets = [shingles(lines[i]) for i in order]
     parent = list(range(len(order)))
@@ -86,6 +102,9 @@ def link_lines(ids: list[int], lines: list[str]) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
+    heads: dict[int, int] = {}
+    for i, place in enumerate(order):
+        parent[i] = heads.setdefault(roots[place], i)
     edges = []
     for i in range(len(order)):
         for j in range(i - 1, -1, -1):
@@ -116,19 +135,16 @@ def _similar(texts_a: pd.Series, texts_b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(shingles(a), shingles(b)) >= LEAST for a, b in zip(texts_a, texts_b, strict=True)], dtype=bool)
 
 
-def line_links(lines: DataFrame) -> DataFrame:
-    """``a, b``: hashes of different lines, edges that join all that similar pairs would join."""
-    texts = lines.where("h is not null").select("h", "line")
-    width = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.mapInArrow(_band_rows, "key long, h long").repartition(width, "key").dropDuplicates(["key", "h"])
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    shared = pinned(rows.join(sizes.where("n > 1"), "key"))
+def _linked(members: DataFrame, known: DataFrame) -> DataFrame:
+    """``a, b`` for ``members (key, h, root)``: similar lines with a common key, as far as their roots differ."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_keys = sizes.where("low != high").select("key", "n")
+    shared = pinned(members.join(open_keys, "key"))
 
     cold = shared.where(F.col("n") <= HOT)
-    pairs = cold.alias("x").join(cold.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")))
+    different = (F.col("x.h") < F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
+    pairs = cold.alias("x").join(cold.alias("y"), (F.col("x.key") == F.col("y.key")) & different)
     pairs = pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
-    wanted = shared.select("h").distinct()
-    known = pinned(texts.join(wanted, "h", "left_semi").dropDuplicates(["h"]))
     similar = F.pandas_udf(_similar, "boolean")
     both = pairs.join(known.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(known.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
     links = both.where(similar("line_a", "line_b")).select("a", "b")
@@ -139,14 +155,32 @@ def line_links(lines: DataFrame) -> DataFrame:
     tiles = F.ceil(F.col("n") / TILE)
     own = F.pmod(F.col("h"), tiles)
     meet = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda t: F.struct(F.least(t, own).alias("s"), F.greatest(t, own).alias("t")))
-    spread = hot.select("key", "h", F.explode(meet).alias("tile")).join(known, "h")
+    spread = hot.select("key", "h", "root", F.explode(meet).alias("tile")).join(known, "h")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(link_lines(group["h"].tolist(), group["line"].tolist()), columns=["a", "b"], dtype=np.int64)
+        return pd.DataFrame(link_lines(group["h"].tolist(), group["line"].tolist(), group["root"].tolist()), columns=["a", "b"], dtype=np.int64)
 
     return links.unionByName(spread.groupBy("key", "tile.s", "tile.t").applyInPandas(link, "a long, b long"))
 
 
+def line_roots(lines: DataFrame) -> DataFrame:
+    """``node, root`` of every line that is similar to another, by hash.
+
+    The first band joins most of what belongs together; of the other bands only keys whose lines lie in
+    different components are looked into.
+    """
+    texts = lines.where("h is not null").select("h", "line")
+    width = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.mapInArrow(_band_rows, "band int, key long, h long").repartition(width, "key").dropDuplicates(["key", "h"])
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = pinned(rows.join(sizes, "key").select("band", "key", "h"))
+    known = pinned(texts.join(shared.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]))
+
+    first = components(_linked(shared.where("band = 0").select("key", "h", F.col("h").alias("root")), known))
+    rest = shared.where("band > 0").join(first, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_linked(rest, known)))
+
+
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: ``doc_id, line_no`` (from 0), ``component`` and ``kept``.
 
@@ -158,7 +192,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     prepare(docs.sparkSession)
     lines = _lines(docs, id_col, text_col)
-    roots = components(line_links(lines))
+    roots = line_roots(lines)
     places = lines.select("doc_id", "ord", "k", "line_no", "h")
     named = places.join(roots, places["h"] == roots["node"], "left").withColumn("component", F.coalesce("root", "h")).drop("node", "root")
     first = named.where("component is not null").groupBy("component").agg(F.min(F.struct("ord", "k", "line_no")).alias("first"))
