@@ -133,8 +133,11 @@ def match_runs(h: np.ndarray, order: np.ndarray, k: np.ndarray, at: np.ndarray,
     return {c: np.concatenate(v) for c, v in out.items()}
 
 
-def _key(docs: DataFrame, id_col: str, text_col: str):
-    return F.xxhash64(docs[id_col], text_of(docs, text_col))
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``ord, k, text`` of every row: place in the order of documents, and a key of the text."""
+    text = text_of(docs, text_col)
+    order = F.coalesce(docs[id_col].try_cast("long"), F.lit((1 << 63) - 1))
+    return docs.select(docs[id_col].alias("doc_id"), order.alias("ord"), F.xxhash64(text, F.length(text)).alias("k"), text.alias("text"))
 
 
 def _suffixes(docs: DataFrame) -> DataFrame:
@@ -156,8 +159,12 @@ _CONTEXT = "h long, hot boolean, ord long, k long, at long, n_words long, left b
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (k, ord, text, found) to one row for each suffix in ``found``, with its surroundings."""
+    before = None
     for batch in batches:
         for k, order, text, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if k == before:  # equal texts come together; one of them is enough
+                continue
+            before = k
             words = word_hashes(text)
             at = np.array([f["at"] for f in found], np.int64)
             n = len(at)
@@ -263,7 +270,7 @@ def _match_windows(hot: DataFrame, width: int) -> DataFrame:
     for side, words in (("right", LEAST), ("left", LEFT)):
         shape = ", ".join(f"{name} {kind}" for name, kind in [*hot.dtypes, (f"{side}_shared", "int")])
         hot = hot.repartitionByRange(width, "h", side, "k").sortWithinPartitions("h", side).mapInArrow(_shared_with_neighbours(side, words), shape)
-    windows = pinned(hot.mapInArrow(_windows, "key long, ord long, k long, first long"))
+    windows = hot.mapInArrow(_windows, "key long, ord long, k long, first long")
     place = F.struct("ord", "k", "first")
     best = windows.groupBy("key").agg(F.min(place).alias("best"), F.max(place).alias("last")).where("best != last").drop("last")
     both = windows.join(best, "key")
@@ -295,22 +302,40 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``k, repeated, later``: merged word spans of each document that has any."""
+    """``k, ord, repeated, later``: merged word spans of each row that has any.
+
+    Equal texts are looked into once, as the first of them; the others repeat it as a whole.
+    """
     prepare(docs.sparkSession)
-    own = docs.select(_key(docs, id_col, text_col).alias("k"), docs[id_col].try_cast("long").alias("ord"), text_of(docs, text_col).alias("text"))
+    own = _documents(docs, id_col, text_col)
     suffixes = pinned(_suffixes(own.select("k", "text")))
-    often = pinned(suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    place = F.struct("k", "at")
+    often = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
+    often = pinned(often.where("low != high").select("h", "n"))
     found = suffixes.join(often, "h").groupBy("k").agg(F.collect_set(F.struct("at", "h", (F.col("n") > HOT).alias("hot"))).alias("found"))
-    last = F.coalesce("ord", F.lit((1 << 63) - 1)).alias("ord")
-    contexts = own.join(found, "k").select("k", last, "text", "found").mapInArrow(_contexts, _CONTEXT)
-    schema = "k long, first long, end long, kept boolean"
+    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+    rows = own.select("k", "ord", words.alias("n_words")).distinct()
+    texts = pinned(rows.groupBy("k").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.max("n_words").alias("n_words")))
+    found = found.join(texts.select("k", F.col("first_ord").alias("ord")), "k")
+    contexts = own.select("k", "text").join(found, "k").select("k", "ord", "text", "found").mapInArrow(_contexts, _CONTEXT)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = contexts.where(~F.col("hot")).repartition(width, "h").sortWithinPartitions("h").mapInArrow(_match_sorted, schema)
+    spans = contexts.where(~F.col("hot")).repartition(width, "h").sortWithinPartitions("h").mapInArrow(_match_sorted, "k long, first long, end long, kept boolean")
     if not often.where(F.col("n") > HOT).isEmpty():
         spans = spans.unionByName(_match_windows(contexts.where("hot"), width))
     lists = spans.groupBy("k").agg(F.collect_set(F.struct("first", "end", "kept")).alias("spans"))
     span = "array<struct<first:bigint,end:bigint>>"
-    return lists.mapInArrow(_merge, f"k long, repeated {span}, later {span}")
+    merged_spans = lists.mapInArrow(_merge, f"k long, repeated {span}, later {span}")
+
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("end")))
+    none = F.array().cast(span)
+    copied = (F.col("first_ord") != F.col("last_ord")) & (F.col("n_words") >= LEAST)
+    both = texts.join(merged_spans, "k", "left").where(copied | F.col("repeated").isNotNull())
+    return rows.select("k", "ord").join(both, "k").select(
+        "k",
+        "ord",
+        F.when(copied, whole).otherwise(F.col("repeated")).alias("repeated"),
+        F.when(copied & (F.col("ord") != F.col("first_ord")), whole).otherwise(F.coalesce("later", none)).alias("later"),
+    )
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,7 +349,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     result; other columns are not looked at.
     """
     spans = pinned(_spans(docs, id_col, text_col))
-    named = docs.select(docs[id_col].alias("doc_id"), _key(docs, id_col, text_col).alias("k")).join(spans, "k")
+    named = _documents(docs, id_col, text_col).select("doc_id", "ord", "k").join(spans, ["k", "ord"])
     each = named.select("doc_id", F.explode("repeated").alias("r"), "later")
     shared = F.aggregate(
         "later",
@@ -351,14 +376,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Other columns stay; a text without a superfluous span stays as it is, empty and null ones too.
     """
-    spans = pinned(_spans(docs, id_col, text_col)).where(F.size("later") > 0).select(F.col("k").alias("_k"), F.col("later").alias("_later"))
+    spans = pinned(_spans(docs, id_col, text_col)).where(F.size("later") > 0).select(F.col("k").alias("_k"), F.col("ord").alias("_o"), F.col("later").alias("_later"))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
         return texts.combine(spans, lambda t, s: cut_spans(t, s))
 
-    tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), _key(docs, id_col, text_col).alias("_key"))
-    joined = tagged.join(spans, F.col("_key") == F.col("_k"), "left")
+    text = text_of(docs, text_col)
+    tagged = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_doc"),
+        F.xxhash64(text, F.length(text)).alias("_key"),
+        F.coalesce(docs[id_col].try_cast("long"), F.lit((1 << 63) - 1)).alias("_ord"),
+    )
+    joined = tagged.join(spans, (F.col("_key") == F.col("_k")) & (F.col("_ord") == F.col("_o")), "left")
     whole = joined.where("_later is null").select("_doc.*")
     shorter = joined.where("_later is not null").withColumn("_text", cut(F.col(f"_doc.{text_col}"), F.col("_later"))).where("length(_text) > 0")
     shorter = shorter.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_doc.`{c}`") for c in docs.columns])
