@@ -48,14 +48,10 @@ class Model(NamedTuple):
     weights: list[float]
 
 
-class Lexicon:
-    """A trie of stems; matching walks it with the rows of the edit-distance automaton."""
-
-    def __init__(self, terms: dict[str, float]):
+class Trie:
+    def __init__(self, terms):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
-        self.weight = terms
-        self.fuzzy_gain = FUZZY_GAIN * max(terms.values(), default=0.0)
         for t in sorted(terms):
             node = 0
             for c in t:
@@ -65,45 +61,54 @@ class Lexicon:
                     self.term.append(None)
                 node = self.children[node][c]
             self.term[node] = t
-        self.memo = WordCache(lambda w: self.match(w.strip("_@$*")), 200_000)
+
+
+class Lexicon:
+    """Tries of all stems and of those that may be misspelt; words are matched against both."""
+
+    def __init__(self, terms: dict[str, float]):
+        self.weight = terms
+        least = FUZZY_GAIN * max(terms.values(), default=0.0)
+        self.exact = Trie(terms)
+        loose = [t for t, w in terms.items() if len(t) >= FUZZY_FROM and w >= least]
+        self.loose = Trie(loose)
+        self.loose_sizes = {len(t) + d for t in loose for d in (-1, 0, 1)}
+        self.memo = WordCache(lambda w: self.match(w.strip("_@$*")), 300_000)
 
     def match(self, word: str) -> tuple[float, float]:
         """Largest weight of a stem that ``word`` begins with, and of one it begins with but for one edit."""
         exact = fuzzy = 0.0
         node = 0
         for c in word:
-            node = self.children[node].get(c, -1)
+            node = self.exact.children[node].get(c, -1)
             if node < 0:
                 break
-            t = self.term[node]
+            t = self.exact.term[node]
             if t is not None:
                 exact = max(exact, self.weight[t])
-        if not exact and len(word) >= FUZZY_FROM:
+        if not exact and len(word) >= FUZZY_FROM and len(word) in self.loose_sizes:
             for t in self._near(word):
-                if len(t) >= FUZZY_FROM and self.weight[t] >= self.fuzzy_gain and abs(len(word) - len(t)) <= 1:
-                    fuzzy = max(fuzzy, self.weight[t])
+                fuzzy = max(fuzzy, self.weight[t])
         return exact, fuzzy
 
     def _near(self, word: str):
-        """Stems within one edit of ``word``: a state is (trie node, word position, edits used)."""
-        seen, todo = set(), [(0, 0, 0)]
+        """Stems within one edit of ``word``: states of the edit-distance automaton are (trie node, letters read, edits)."""
+        children, term = self.loose.children, self.loose.term
+        n, todo = len(word), [(0, 0, 0)]
         while todo:
-            state = todo.pop()
-            if state in seen:
-                continue
-            seen.add(state)
-            node, at, used = state
-            t = self.term[node]
-            if t is not None and len(word) - at + used <= 1:
-                yield t
-            if at < len(word) and word[at] in self.children[node]:
-                todo.append((self.children[node][word[at]], at + 1, used))
+            node, at, used = todo.pop()
+            if term[node] is not None and n - at + used <= 1:
+                yield term[node]
+            nxt = children[node].get(word[at], -1) if at < n else -1
+            if nxt >= 0:
+                todo.append((nxt, at + 1, used))
             if not used:
-                if at < len(word):
+                # one more letter in the word, one fewer, or another one; then the rest must agree
+                if at < n:
                     todo.append((node, at + 1, 1))
-                for child in self.children[node].values():
+                for child in children[node].values():
                     todo.append((child, at, 1))
-                    if at < len(word):
+                    if child != nxt and at < n:
                         todo.append((child, at + 1, 1))
 
     def features(self, text: str) -> list[float]:
@@ -231,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own = map_texts(training.where(F.col("toxic") == toxic), "doc_id", "text", "x array<double>, y array<double>", worker)
         return own.select("doc_id", F.lit(toxic).alias("toxic"), F.posexplode(F.array("x", "y")).alias("variant", "x"))
 
-    rows = features(0).unionByName(features(1)).orderBy("doc_id", "toxic", "variant").collect()
+    rows = sorted(features(0).unionByName(features(1)).collect(), key=lambda r: (r["doc_id"], r["toxic"], r["variant"]))
     y = np.array([r["toxic"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Model({}, [-30.0] + [0.0] * (len(FEATURES) - 1))
