@@ -24,6 +24,8 @@ from siftwell.llm.graph import components
 SHINGLE, LEAST = 5, 0.8
 #: Bands of signature values: a pair at LEAST shares a band with probability 1 - (1 - 0.8**3)**8 > 0.996.
 BANDS, ROWS = 8, 3
+#: The lowest bits of a key name its band.
+BAND_BITS = 3
 #: Buckets of more lines are linked inside a task instead of pair by pair; past TILE lines, by pairs of tiles.
 HOT, TILE = 16, 4000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +70,8 @@ def bands(lines: list[str]) -> np.ndarray:
             low = np.minimum.reduceat(mixed, first).astype(np.uint64)
             band = i // ROWS
             keys[band] = (keys[band] ^ (keys[band] >> np.uint64(31))) * _MULTIPLY + low + np.uint64(1)
-        return (keys * _MULTIPLY + np.arange(BANDS, dtype=np.uint64)[:, None]).T.copy().view(np.int64)
+        keys = (keys * _MULTIPLY) >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)
+        return (keys + np.arange(BANDS, dtype=np.uint64)[:, None]).T.copy().view(np.int64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -77,14 +80,13 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``band, key, h`` of every band of the different lines of each batch of texts."""
+    """``key, h`` of every band of the different lines of each batch of texts."""
     for batch in batches:
         held: dict[str, int] = {}
         for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held[line] = h
         keys = bands(list(held)) if held else np.empty((0, BANDS), np.int64)
         yield pa.RecordBatch.from_pydict({
-            "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(held))),
             "key": pa.array(keys.reshape(-1)),
             "h": pa.array(np.repeat(np.fromiter(held.values(), np.int64, len(held)), BANDS)),
         })
@@ -171,13 +173,14 @@ def line_roots(lines: DataFrame) -> DataFrame:
     """
     texts = lines.where("h is not null").select("h", "line")
     width = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.mapInArrow(_band_rows, "band int, key long, h long").repartition(width, "key").dropDuplicates(["key", "h"])
+    rows = texts.mapInArrow(_band_rows, "key long, h long").repartition(width, "key").dropDuplicates(["key", "h"])
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    shared = pinned(rows.join(sizes, "key").select("band", "key", "h"))
+    shared = pinned(rows.join(sizes, "key").select("key", "h"))
+    band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1))
     known = pinned(texts.join(shared.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]))
 
-    first = components(_linked(shared.where("band = 0").select("key", "h", F.col("h").alias("root")), known))
-    rest = shared.where("band > 0").join(first, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+    first = components(_linked(shared.where(band == 0).select("key", "h", F.col("h").alias("root")), known))
+    rest = shared.where(band > 0).join(first, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root"))
     return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_linked(rest, known)))
 
 
