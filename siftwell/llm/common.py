@@ -36,16 +36,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z only, as the word-level contracts ask."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def wide(df: DataFrame, columns: list[str]) -> int:
-    """Shuffle partitions for an explicit repartition: what the session is set to."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def map_texts(docs: DataFrame, id_col: str, text_col: str, schema: str, worker) -> DataFrame:
     """Each (id, text) through ``worker()``, which is made once a task and maps two lists to columns.
 
