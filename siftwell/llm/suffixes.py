@@ -26,7 +26,7 @@ LEAST, GRAM = 50, 8
 LEFT = LEAST - GRAM
 SPAN = LEFT + LEAST
 #: Runs of more suffixes are sorted over all tasks, instead of matched in one.
-HOT = 20_000
+HOT = 60_000
 #: Suffixes that are matched at a time in a task.
 TOGETHER = 20_000
 _FACTOR = 0x9E3779B97F4A7C15
