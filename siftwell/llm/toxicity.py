@@ -29,8 +29,6 @@ TRAINING_TOXIC, TRAINING_OTHER = 3_000, 5_000
 LEXICON_TERMS, LEAST_DOCS = 400, 4
 #: Stem lengths tried, and the least length at which one edit is allowed.
 SHORTEST, LONGEST, FUZZY_FROM = 3, 12, 5
-#: Only stems this telling, as a share of the most telling one, are looked for with an edit.
-FUZZY_GAIN = 0.85
 #: What a misspelt or quoting variant of a training text counts against the text itself.
 VARIANT_WEIGHT = 0.2
 #: Words on each side of a match that are its context.
@@ -64,19 +62,26 @@ class Trie:
 
 
 class Lexicon:
-    """Tries of all stems and of those that may be misspelt; words are matched against both."""
+    """Tries of all stems and of those long enough to be misspelt; words are matched against both."""
 
     def __init__(self, terms: dict[str, float]):
         self.weight = terms
-        least = FUZZY_GAIN * max(terms.values(), default=0.0)
         self.exact = Trie(terms)
-        loose = [t for t, w in terms.items() if len(t) >= FUZZY_FROM and w >= least]
+        loose = [t for t in terms if len(t) >= FUZZY_FROM]
         self.loose = Trie(loose)
-        self.loose_sizes = {len(t) + d for t in loose for d in (-1, 0, 1)}
-        self.memo = WordCache(lambda w: self.match(w.strip("_@$*")), 300_000)
+        # an edit in the first two letters leaves the next three, which move by one place at most
+        self.inner = {t[2:5] for t in loose}
+        self.memo = WordCache(lambda w: self.look(w.strip("_@$*")), 300_000)
 
     def match(self, word: str) -> tuple[float, float]:
-        """Largest weight of a stem that ``word`` begins with, and of one it begins with but for one edit."""
+        """Largest weight of a stem that ``word`` begins with, and of one that it is but for one edit."""
+        return self._match(word, False)
+
+    def look(self, word: str) -> tuple[float, float]:
+        """As :meth:`match`, but a misspelt stem may also have an ending; its edit is then followed by a letter that agrees."""
+        return self._match(word, True)
+
+    def _match(self, word: str, endings: bool) -> tuple[float, float]:
         exact = fuzzy = 0.0
         node = 0
         for c in word:
@@ -86,30 +91,36 @@ class Lexicon:
             t = self.exact.term[node]
             if t is not None:
                 exact = max(exact, self.weight[t])
-        if not exact and len(word) >= FUZZY_FROM and len(word) in self.loose_sizes:
-            for t in self._near(word):
+        if not exact and len(word) >= FUZZY_FROM:
+            for t in self._near(word, endings):
                 fuzzy = max(fuzzy, self.weight[t])
         return exact, fuzzy
 
-    def _near(self, word: str):
-        """Stems within one edit of ``word``: states of the edit-distance automaton are (trie node, letters read, edits)."""
+    def _near(self, word: str, endings: bool):
+        """Stems within one edit of ``word``, or of its beginning: states of the edit-distance automaton are (trie node,
+        letters read, edits, whether a letter agreed behind the edit)."""
         children, term = self.loose.children, self.loose.term
-        n, todo = len(word), [(0, 0, 0)]
+        if not self.inner.isdisjoint((word[1:4], word[2:5], word[3:6])):
+            todo = [(0, 0, 0, False)]
+        else:  # no edit in the first two letters
+            node = children[children[0].get(word[0], 0)].get(word[1], 0) if word[0] in children[0] else 0
+            todo = [(node, 2, 0, False)] if node else []
+        n = len(word)
         while todo:
-            node, at, used = todo.pop()
-            if term[node] is not None and n - at + used <= 1:
+            node, at, used, firm = todo.pop()
+            if term[node] is not None and (n - at + used <= 1 or (endings and firm)):
                 yield term[node]
             nxt = children[node].get(word[at], -1) if at < n else -1
             if nxt >= 0:
-                todo.append((nxt, at + 1, used))
+                todo.append((nxt, at + 1, used, used > 0))
             if not used:
                 # one more letter in the word, one fewer, or another one; then the rest must agree
                 if at < n:
-                    todo.append((node, at + 1, 1))
+                    todo.append((node, at + 1, 1, False))
                 for child in children[node].values():
-                    todo.append((child, at, 1))
+                    todo.append((child, at, 1, False))
                     if child != nxt and at < n:
-                        todo.append((child, at + 1, 1))
+                        todo.append((child, at + 1, 1, False))
 
     def features(self, text: str) -> list[float]:
         """Sums over the matches of a text, in the order of FEATURES."""
