@@ -60,14 +60,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
     for long in reversed(large):
         while left[long]:
             at = bisect_left(large, capacity - long + 1) - 1
-            while at >= 0 and not left[large[at]]:
+            # a last piece of its length is no partner of itself
+            while at >= 0 and left[large[at]] <= (large[at] == long):
                 at -= 1
             partner = large[at] if at >= 0 else None
             if partner is None:
                 bins = left[long]
             elif partner == long:
-                bins = left[long] // 2 or left[long]
-                partner = long if left[long] > 1 else None
+                bins = left[long] // 2
             else:
                 bins = min(left[long], left[partner])
             place(long, bins, 1, sequences, 0)
