@@ -22,10 +22,10 @@ from siftwell.llm.graph import components
 
 #: Characters of a shingle, least similarity of a link.
 SHINGLE, LEAST = 5, 0.8
-#: Bands of signature values: a pair at LEAST shares a band with probability 1 - (1 - 0.8**3)**8 > 0.996.
-BANDS, ROWS = 8, 3
+#: Bands of signature values: a pair at LEAST shares a band with probability 1 - (1 - 0.8**3)**10 > 0.999.
+BANDS, ROWS = 10, 3
 #: The lowest bits of a key name its band.
-BAND_BITS = 3
+BAND_BITS = 4
 #: Buckets of more lines are linked inside a task instead of pair by pair; past TILE lines, by pairs of tiles.
 HOT, TILE = 16, 4000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -94,8 +94,9 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link_lines(ids: list[int], lines: list[str], roots: list[int]) -> list[tuple[int, int]]:
     """Edges that, with those of equal ``roots``, join what the similar lines among ``lines`` would join."""
-    order = sorted(range(len(ids)), key=lambda i: (len(lines[i]), ids[i]))
-    sets = [shingles(lines[i]) for i in order]
+    found = [shingles(line) for line in lines]
+    order = sorted(range(len(ids)), key=lambda i: (len(found[i]), ids[i]))
+    sets = [found[i] for i in order]
     parent = list(range(len(order)))
 
     def root(x: int) -> int:
@@ -111,9 +112,7 @@ def link_lines(ids: list[int], lines: list[str], roots: list[int]) -> list[tuple
     for i in range(len(order)):
         for j in range(i - 1, -1, -1):
             if len(sets[j]) < LEAST * len(sets[i]):
-                if len(lines[order[j]]) < LEAST * len(lines[order[i]]) / 2:
-                    break
-                continue
+                break
             a, b = root(i), root(j)
             if a != b and jaccard(sets[i], sets[j]) >= LEAST:
                 parent[a] = b
