@@ -3,9 +3,10 @@
 Only suffixes at content-selected positions are kept: in every window of ``LEAST`` words the
 position whose following ``GRAM`` words hash lowest (a minimiser). Equal passages select equal
 positions, so two copies of a passage of at least ``LEAST`` words share a kept suffix. Suffixes
-whose first words occur once are dropped. The rest are sorted by their first words, neighbours that
-begin alike form runs, and within a run the matches are extended to the left and to the right of the
-selected position; a stretch counts when left and right extension together reach ``LEAST`` words.
+whose first words occur once are dropped. The rest are ordered by the hash of their first words, and
+those that begin alike form runs. In a run of up to ``HOT`` suffixes nothing is sorted by what follows:
+all windows of ``LEAST`` words around the selected position are hashed, and equal hashes are the
+repeats. Only longer runs are sorted as suffixes and compared with their neighbours.
 """
 
 from __future__ import annotations
