@@ -180,3 +180,9 @@ def byte_level(path: str) -> tuple[MergeTable, list[str]]:
         pair[vocab[left], vocab[right]] = token
         split[token], rank[token] = (vocab[left], vocab[right]), n
     return MergeTable(spell, split, rank, lambda u, v: pair.get((u, v))), list(added)
+
+
+def special_ids(path: str) -> dict[str, int]:
+    """Ids of the added special strings of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}

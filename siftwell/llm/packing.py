@@ -18,14 +18,13 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tiktoken import Encoding
 
+from siftwell.llm.bpe import byte_level, special_ids
 from siftwell.llm.common import map_texts, pinned
-from siftwell.llm.pretokens import blocks, segments, spaced
-from siftwell.llm.wordcache import WordCache
+from siftwell.llm.pretokens import PATTERN, settled
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers, in each of two generations.
-WORDS = 500_000
 #: Pieces of one length that are numbered by one task.
 RANKED_TOGETHER = 4000
 
@@ -100,36 +99,31 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
 
 
 class Ids:
-    """Token ids of texts as little-endian 32-bit bytes, remembered by block."""
+    """Token ids of texts as little-endian 32-bit bytes.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Two public libraries give the same ids for one vocabulary. The faster one encodes texts whose
+    characters have the same class in all Unicode versions; the tokenizer file's own library the rest.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        library = Tokenizer.from_file(path)
-        special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-        self.special = list(special)
-        self._special = {s: array("I", [i]).tobytes() for s, i in special.items()}
+        self.path = path
+        merges, special = byte_level(path)
+        ids = special_ids(path)
+        self.fast = Encoding(path, pat_str=PATTERN, mergeable_ranks={text: i for i, text in merges.spell.items()}, special_tokens={s: ids[s] for s in special})
+        self._library = None
 
-        def ids(blocks: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(blocks, add_special_tokens=False)]
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
 
-        self.led = WordCache(None, WORDS, lambda parts: ids([" " + p for p in parts]))
-        self.bare = WordCache(None, WORDS, ids)
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
 
     def of(self, text: str) -> bytes:
-        texts, specials = segments(text, self.special)
-        out = []
-        for i, part in enumerate(texts):
-            words = spaced(part)
-            if words is None:
-                out += self.bare.all(blocks(part))
-            else:
-                out += self.bare.all(words[:1])
-                out += self.led.all(words[1:])
-            if i < len(specials):
-                out.append(self._special[specials[i]])
-        return b"".join(out)
+        if settled(text):
+            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return array("I", self.library().encode(text, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -15,7 +15,7 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _plain_words = regex.compile(PATTERN).findall
 #: Characters whose class is the same in all Unicode versions that the libraries follow.
-_SETTLED = re.compile("[\\x00-\u052f\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*").fullmatch
+settled = re.compile("[\\x00-\u052f\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*").fullmatch
 #: Any space that is not directly between two non-space characters, by either library's notion of space.
 UNEVEN = re.compile(r"\s [^\s]| \s|^ | $|\s$|^\s")
 _general = re.compile(r"(?<=\S)(?= )").split
@@ -23,7 +23,7 @@ _general = re.compile(r"(?<=\S)(?= )").split
 
 def words_of(block: str, library) -> list[str]:
     """Pre-tokens of ``block``. ``library()`` is the tokenizer, asked where Unicode versions differ."""
-    if _SETTLED(block):
+    if settled(block):
         return _plain_words(block)
     return [block[a:b] for _, (a, b) in library().pre_tokenizer.pre_tokenize_str(block)]
 
