@@ -1,12 +1,16 @@
 """Repeated passages through a sparse suffix array.
 
-Only suffixes at content-selected positions are kept: in every window of ``LEAST`` words the
-position whose following ``GRAM`` words hash lowest (a minimiser). Equal passages select equal
-positions, so two copies of a passage of at least ``LEAST`` words share a kept suffix. Suffixes
-whose first words occur once are dropped. The rest are ordered by the hash of their first words, and
-those that begin alike form runs. In a run of up to ``HOT`` suffixes nothing is sorted by what follows:
-all windows of ``LEAST`` words around the selected position are hashed, and equal hashes are the
-repeats. Only longer runs are sorted as suffixes and compared with their neighbours.
+Only suffixes at content-selected positions are kept: every window of ``LEAST`` words selects the
+position whose following ``GRAM`` words hash lowest (a minimiser), the first of equal ones. Equal
+windows select equal positions, so each window is looked into at one suffix only, as so many words
+before its position and the rest from it on. Windows with at most ``HALF`` words in front all hold
+the words right behind the position, the others all hold those right before it; suffixes whose words
+there occur once are dropped. What is left falls into runs that share those words. The suffixes of a
+run are sorted by the words that follow and by those that precede, and what neighbours have in
+common extends each to the right and to the left: two windows are equal where both extensions reach.
+
+A run of more than ``RUN`` suffixes is split further, down to the windows themselves, so that no
+task holds more than some ``RUN`` suffixes of bounded size, however often a passage occurs.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +28,15 @@ from siftwell.llm.common import map_texts, pinned, prepare, text_of
 
 #: Words a passage must have, and words that are hashed to select positions.
 LEAST, GRAM = 50, 8
-#: Words in front of a selected position that a window of LEAST words can hold.
-LEFT = LEAST - GRAM
-SPAN = LEFT + LEAST
-#: Runs of more suffixes are sorted over all tasks, instead of matched in one.
-HOT = 60_000
-#: Suffixes that are matched at a time in a task.
-TOGETHER = 20_000
+#: Most words of a window in front of its selected position, and most of those that are found by the words behind it.
+LEFT, HALF = LEAST - GRAM, (LEAST - GRAM) // 2
+#: Suffixes of a run, and of several runs together, that one task matches in memory.
+RUN = 8192
+#: Bytes of a word that are carried along; a longer one is known by its SHA-256.
+LONG_WORD = 64
 _FACTOR = 0x9E3779B97F4A7C15
-_POWERS = np.array([pow(_FACTOR, i, 1 << 64) for i in range(SPAN)], np.uint64)
-_INVERSES = np.array([pow(pow(_FACTOR, -1, 1 << 64), i, 1 << 64) for i in range(LEFT + 1)], np.uint64)
+#: A position in a text takes so many bits of a packed gram.
+_PLACE = np.uint64(31)
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -59,219 +63,185 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return out
 
 
-def selected(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the minimisers of a text of word hashes, and the hashes of their first words."""
+def _rolling(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every ``width`` consecutive words."""
+    n = len(words) - width + 1
+    sums = np.zeros(max(n, 0), np.uint64)
+    for j in range(width):
+        sums = sums * np.uint64(_FACTOR) + words[j : j + n]
+    return _mixed(sums)
+
+
+def selected(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Selected positions of a text of word hashes, and the least and most words before them in their windows."""
     if len(words) < LEAST:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    n = len(words) - GRAM + 1
-    grams = np.zeros(n, np.uint64)
-    for j in range(GRAM):
-        grams = grams * np.uint64(_FACTOR) + words[j : j + n]
-    grams = _mixed(grams)
-    width = LEAST - GRAM + 1
-    lowest = _sliding(grams, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    best = _sliding(np.concatenate([edge, lowest, edge]), width, np.maximum)
-    at = np.flatnonzero(best == grams)
-    return at, grams[at].view(np.int64)
-
-
-def surroundings(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """32-bit hashes of the LEFT words before and the LEAST words from each position; 0 beyond the ends."""
-    padded = np.concatenate([np.zeros(LEFT, np.uint32), (words >> np.uint64(32)).astype(np.uint32), np.zeros(LEAST, np.uint32)])
-    return padded[at[:, None] + np.arange(SPAN)]
-
-
-def window_keys(around: np.ndarray, at: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the LEAST-word window that begins ``a`` words before each position, a = LEFT..0, and which exist."""
-    sums = np.zeros((len(around), SPAN + 1), np.uint64)
-    np.cumsum(_mixed(around.astype(np.uint64) + np.uint64(1)) * _POWERS, axis=1, out=sums[:, 1:])
-    keys = (sums[:, LEAST : LEAST + LEFT + 1] - sums[:, : LEFT + 1]) * _INVERSES
-    start = at[:, None] - LEFT + np.arange(LEFT + 1)
-    return keys, (start >= 0) & (start + LEAST <= n_words[:, None])
-
-
-def _stretches(flags: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, first and end words of the stretches covered by runs of flagged windows."""
-    edge = np.zeros((len(flags), 1), bool)
-    grown = np.concatenate([edge, flags, edge], axis=1)
-    row, first = np.nonzero(grown[:, 1:] & ~grown[:, :-1])
-    _, last = np.nonzero(~grown[:, 1:] & grown[:, :-1])
-    return row, at[row] - LEFT + first, at[row] - LEFT + last - 1 + LEAST
-
-
-def match_runs(h: np.ndarray, order: np.ndarray, k: np.ndarray, at: np.ndarray, n_words: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
-    """Repeated stretches of suffixes given in runs of equal ``h``: ``k, first, end, kept``.
-
-    ``kept`` is true for all that repeats and false again for what an earlier copy makes superfluous.
+        return (np.empty(0, np.int64),) * 3
+    grams = _rolling(words, GRAM)
+    packed = (grams >> _PLACE << _PLACE) | np.arange(len(grams), dtype=np.uint64)
+    lowest = _sliding(packed, LEFT + 1, np.minimum)
+    chosen = (lowest & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)  # by first word of the window
+    first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+    last = np.concatenate([first[1:], [len(chosen)]]) - 1
+    at = chosen[first]
+    return at, at - last, at - first
+
+
+def suffix_rows(words: np.ndarray) -> list[np.ndarray]:
+    """``key, at, low, high``: each suffix under the hash of the words that its windows on either side share."""
+    at, low, high = selected(words)
+    near, far = low <= HALF, high > HALF
+    near_keys = _rolling(words, LEAST - HALF)[at[near]]
+    far_keys = _mixed(_rolling(words, HALF + 1 + GRAM)[at[far] - HALF - 1] + np.uint64(1))
+    return [
+        np.concatenate([near_keys, far_keys]).view(np.int64),
+        np.concatenate([at[near], at[far]]),
+        np.concatenate([low[near], np.maximum(low[far], HALF + 1)]),
+        np.concatenate([np.minimum(high[near], HALF), high[far]]),
+    ]
+
+
+def _in_common(codes: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by run and words, words each shares with its predecessor there, and the most it shares with a neighbour."""
+    flat = np.concatenate([run.astype(">u4")[:, None], codes.astype(">u4")], axis=1)
+    order = np.argsort(np.ascontiguousarray(flat).view(f"S{4 * flat.shape[1]}")[:, 0], kind="stable")
+    sorted_codes, sorted_runs = codes[order], run[order]
+    same = (sorted_codes[1:] == sorted_codes[:-1]) & (sorted_runs[1:] == sorted_runs[:-1])[:, None]
+    shared = np.concatenate([[0], np.logical_and.accumulate(same, axis=1).sum(axis=1)])
+    shared[np.flatnonzero(np.concatenate([[True], sorted_runs[1:] != sorted_runs[:-1]]))] = -1
+    most = np.empty(len(order), np.int64)
+    most[order] = np.maximum(shared, np.concatenate([shared[1:], [-1]]))
+    return order, shared, most
+
+
+def match_runs(key: np.ndarray, order: np.ndarray, k: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, words: pa.Array) -> dict[str, np.ndarray]:
+    """Repeated stretches of whole runs of equal ``key``: ``k, first, end, kept``.
+
+    ``words`` holds the words of each suffix from ``high`` before its position to the end of its last
+    window. ``kept`` is true for all that repeats and false again for what an earlier copy makes
+    superfluous.
     """
-    same = np.lexsort((at, k, order))
-    h, order, k, at, n_words, around = h[same], order[same], k[same], at[same], n_words[same], around[same]
-    keys, there = window_keys(around, at, n_words)
-    keys = _mixed(keys + _mixed(h.view(np.uint64))[:, None] + np.arange(LEFT + 1, dtype=np.uint64) * np.uint64(_FACTOR))
-    row, col = np.nonzero(there)
-    flat = keys[row, col]
-    by = np.argsort(flat, kind="stable")  # of equal windows the earliest comes first
-    flat, row, col = flat[by], row[by], col[by]
-    new = np.ones(len(flat), bool)
-    new[1:] = flat[1:] != flat[:-1]
-    group = np.cumsum(new) - 1
-    head = np.flatnonzero(new)[group] if len(flat) else group
-    start = at[row] - LEFT + col
-    # rows that repeat an id and a text are the same document
-    other = (k[row] != k[row[head]]) | (start != start[head])
-    repeated = np.bincount(group, other, minlength=group[-1] + 1 if len(group) else 0)[group] > 0 if len(group) else other
-    later = other & ~((k[row] == k[row[head]]) & (start - start[head] < LEAST))
+    by = np.lexsort((at, k, order, key))  # of equal windows the earliest comes first
+    key, k, at, low, high, words = key[by], k[by], at[by], low[by], high[by], words.take(pa.array(by))
+    n, run = len(key), np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    lists = pc.split_pattern(words, " ")
+    sizes = (high - low + LEAST).astype(np.int64)
+    row = np.repeat(np.arange(n), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(LEFT - high, sizes)
+    around = np.zeros((n, LEFT + LEAST), np.uint32)
+    around[row, place] = pc.dictionary_encode(lists.flatten()).indices.to_numpy().astype(np.uint32) + 1
+    right, before_right, most_right = _in_common(around[:, LEFT:], run)
+    left, before_left, most_left = _in_common(around[:, LEFT - 1 :: -1], run)
+    repeated, later = np.zeros((n, LEFT + 1), bool), np.zeros((n, LEFT + 1), bool)
+    group = np.empty((2, n), np.int64)
+    for a in range(LEFT + 1):
+        own = np.flatnonzero((low <= a) & (a <= high) & (most_right >= LEAST - a) & (most_left >= a))
+        if len(own) < 2:
+            continue
+        # suffixes that agree in the words behind them lie side by side in one order, those that agree before them in the other
+        group[0, right], group[1, left] = np.cumsum(before_right < LEAST - a), np.cumsum(before_left < a)
+        both = group[0, own] * (n + 1) + group[1, own]
+        by = np.argsort(both, kind="stable")
+        own, both = own[by], both[by]
+        new = np.concatenate([[True], both[1:] != both[:-1]])
+        head = own[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        alone = new & np.concatenate([new[1:], [True]])
+        repeated[own[~alone], a] = True
+        # a window that overlaps the first copy in its own text is no second copy
+        later[own[~new & ~((k[own] == k[head]) & (at[own] - at[head] < LEAST))], a] = True
     out = {"k": [], "first": [], "end": [], "kept": []}
-    for kept, which in ((True, repeated), (False, later)):
-        flags = np.zeros(there.shape, bool)
-        flags[row[which], col[which]] = True
-        r, first, end = _stretches(flags, at)
+    for kept, flags in ((True, repeated), (False, later)):
+        edge = np.zeros((n, 1), bool)
+        grown = np.concatenate([edge, flags, edge], axis=1)
+        r, least = np.nonzero(grown[:, 1:] & ~grown[:, :-1])
+        _, end = np.nonzero(~grown[:, 1:] & grown[:, :-1])
         out["k"].append(k[r])
-        out["first"].append(first)
-        out["end"].append(end)
+        out["first"].append(at[r] - end + 1)
+        out["end"].append(at[r] - least + LEAST)
         out["kept"].append(np.full(len(r), kept))
     return {c: np.concatenate(v) for c, v in out.items()}
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``ord, k, text`` of every row: place in the order of documents, and a key of the text."""
+    """``doc_id, ord, digest, text`` of every row: its place in the order of documents, and the digest of its text."""
     text = text_of(docs, text_col)
     order = F.coalesce(docs[id_col].try_cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(docs[id_col].alias("doc_id"), order.alias("ord"), F.xxhash64(text, F.length(text)).alias("k"), text.alias("text"))
+    return docs.select(docs[id_col].alias("doc_id"), order.alias("ord"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
 
 
-def _suffixes(docs: DataFrame) -> DataFrame:
-    """``k, h, at`` of every kept suffix of ``docs (k, text)``."""
+def _suffixes(texts: DataFrame) -> DataFrame:
+    """``k, key, at, low, high`` of every kept suffix of ``texts (k, text)``."""
 
     def worker():
         def work(texts: list[str]):
-            found = [selected(word_hashes(t)) for t in texts]
-            rows = np.repeat(np.arange(len(texts)), [len(a) for a, _ in found])
-            return rows, [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (1, 0)]
+            found = [suffix_rows(word_hashes(t)) for t in texts]
+            rows = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
+            return rows, [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(4)]
 
         return work
 
-    return map_texts(docs, "k", "text", "h long, at long", worker).withColumnRenamed("doc_id", "k")
-
+    return map_texts(texts, "k", "text", "key long, at long, low int, high int", worker).withColumnRenamed("doc_id", "k")
 
-_CONTEXT = "h long, hot boolean, ord long, k long, at long, n_words long, left binary, right binary"
 
+def _each_suffix(batches: Iterator[pa.RecordBatch]):
+    """``k, ord, words, key, at, low, high`` of rows ``k, ord, text, found``; the last four are arrays."""
+    from hashlib import sha256
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (k, ord, text, found) to one row for each suffix in ``found``, with its surroundings."""
-    before = None
     for batch in batches:
-        for k, order, text, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if k == before:  # equal texts come together; one of them is enough
-                continue
-            before = k
-            words = word_hashes(text)
-            at = np.array([f["at"] for f in found], np.int64)
-            n = len(at)
-            around = surroundings(words, at)
-            columns = [
-                pa.array([f["h"] for f in found], pa.int64()), pa.array([f["hot"] for f in found], pa.bool_()), pa.array([order] * n, pa.int64()),
-                pa.array([k] * n, pa.int64()), pa.array(at), pa.array([len(words)] * n, pa.int64()), _binary(around[:, LEFT - 1 :: -1]), _binary(around[:, LEFT:]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "hot", "ord", "k", "at", "n_words", "left", "right"])
+        found = batch.column(3)
+        ends, parts = found.offsets.to_numpy() - found.offsets[0].as_py(), found.flatten()
+        key, at, low, high = (pc.struct_field(parts, c).to_numpy() for c in ("key", "at", "low", "high"))
+        for i, (k, order, text) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True)):
+            own = slice(ends[i], ends[i + 1])
+            words = [w if len(w) <= LONG_WORD else b"\0" + sha256(w).hexdigest().encode() for w in text.encode().split()]
+            yield k, order, words, key[own], at[own], low[own], high[own]
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """Each row's bytes as one value."""
-    rows = np.ascontiguousarray(rows)
-    offsets = pa.py_buffer((np.arange(len(rows) + 1) * rows.itemsize * rows.shape[1]).astype(np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows)])
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each suffix, with the words that its windows hold."""
+    for k, order, words, key, at, low, high in _each_suffix(batches):
+        n = len(at)
+        held = [b" ".join(words[p - b : p - a + LEAST]) for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)]
+        columns = [key, np.full(n, order), np.full(n, k), at, low, high, pa.array(held, pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "ord", "k", "at", "low", "high", "words"])
 
 
-def _matrix(table: pa.Table | pa.RecordBatch, column: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(table[column].to_pylist()), np.uint32).reshape(-1, width)
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of each suffix, under the 128-bit digest of its words."""
+    from xxhash import xxh3_128_digest
 
-
-def _arrays(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
-    around = np.concatenate([_matrix(table, "left", LEFT)[:, ::-1], _matrix(table, "right", LEAST)], axis=1)
-    return [*[np.asarray(table[c]).astype(np.int64) for c in ("h", "ord", "k", "at", "n_words")], around]
+    for k, order, words, _, at, low, high in _each_suffix(batches):
+        first = [s for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True) for s in range(p - b, p - a + 1)]
+        n = len(first)
+        columns = [pa.array([xxh3_128_digest(b" ".join(words[s : s + LEAST])) for s in first], pa.binary()), np.full(n, order), np.full(n, k), np.array(first, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "ord", "k", "first"])
 
 
 def _match_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole runs of equal h, some TOGETHER at a time, through :func:`match_runs`."""
+    """Rows of :func:`_around`, sorted by key, through :func:`match_runs`: whole runs, some RUN suffixes at a time."""
 
     def done(held: pa.Table) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in match_runs(*_arrays(held)).items()})
+        arrays = [np.asarray(held[c]).astype(np.int64) for c in ("key", "ord", "k", "at", "low", "high")]
+        found = match_runs(*arrays, held["words"].combine_chunks())
+        return pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in found.items()})
 
-    held = None
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
-        new = pa.Table.from_batches([batch])
-        held = new if held is None else pa.concat_tables([held, new])
-        if held.num_rows >= TOGETHER:
-            h = held["h"].to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= RUN:
+            table = pa.Table.from_batches(held)
+            key = table["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
             if cut:
-                yield done(held.slice(0, cut))
-                held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield done(held)
-
-
-def _shared_with_neighbours(side: str, width: int):
-    """Adds ``<side>_shared`` to rows sorted by h and ``side``: the words that a neighbour has in common.
-
-    A row at the edge of a partition may have its like in the next; it counts as wholly shared.
-    """
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        before: tuple[int, np.ndarray] | None = None
-
-        def done(batch: pa.RecordBatch, after: tuple[int, np.ndarray] | None) -> pa.RecordBatch:
-            h, words = np.asarray(batch["h"]), _matrix(batch, side, width)
-            same = (words[1:] == words[:-1]) & (h[1:] == h[:-1])[:, None]
-            between = np.cumprod(same, axis=1).sum(axis=1)
-
-            def edge(other, own: int) -> int:
-                if other is None:
-                    return width
-                return int(np.cumprod(other[1] == words[own]).sum()) if other[0] == h[own] else 0
+                yield done(table.slice(0, cut))
+                held, rows = table.slice(cut).to_batches(), rows - cut
+    if rows:
+        yield done(pa.Table.from_batches(held))
 
-            lcp = np.concatenate([[edge(before, 0)], between, [edge(after, -1)]])
-            shared = np.maximum(lcp[:-1], lcp[1:])
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared, pa.int32())], names=[*batch.schema.names, f"{side}_shared"])
 
-        for batch in batches:
-            if batch.num_rows:
-                if held is not None:
-                    yield done(held, (batch["h"][0].as_py(), _matrix(batch.slice(0, 1), side, width)[0]))
-                    before = (held["h"][-1].as_py(), _matrix(held.slice(held.num_rows - 1), side, width)[0])
-                held = batch
-        if held is not None:
-            yield done(held, None)
-
-    return measure
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows around the suffixes of very long runs that can repeat, by key."""
-    for batch in batches:
-        h, order, k, at, n_words, around = _arrays(batch)
-        keys, there = window_keys(around, at, n_words)
-        keys = _mixed(keys + _mixed(h.view(np.uint64))[:, None] + np.arange(LEFT + 1, dtype=np.uint64) * np.uint64(_FACTOR))
-        before = LEFT - np.arange(LEFT + 1)
-        there &= (before <= np.asarray(batch["left_shared"])[:, None]) & (LEAST - before <= np.asarray(batch["right_shared"])[:, None])
-        row, col = np.nonzero(there)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[row, col].view(np.int64)), "ord": pa.array(order[row]), "k": pa.array(k[row]), "first": pa.array(at[row] - LEFT + col)})
-
-
-def _match_windows(hot: DataFrame, width: int) -> DataFrame:
-    """As :func:`match_runs`, for runs too long for one task.
-
-    The suffixes are sorted over all tasks, by the words behind them and by those before them; what
-    neighbours share bounds the windows that can repeat. Those are counted before they are joined.
-    """
-    hot = hot.drop("hot")
-    for side, words in (("right", LEAST), ("left", LEFT)):
-        shape = ", ".join(f"{name} {kind}" for name, kind in [*hot.dtypes, (f"{side}_shared", "int")])
-        hot = hot.repartitionByRange(width, "h", side, "k").sortWithinPartitions("h", side).mapInArrow(_shared_with_neighbours(side, words), shape)
-    windows = hot.mapInArrow(_windows, "key long, ord long, k long, first long")
+def _match_windows(windows: DataFrame) -> DataFrame:
+    """As :func:`match_runs`, for the windows of runs too long for one task: copies are counted before they are joined."""
     place = F.struct("ord", "k", "first")
     best = windows.groupBy("key").agg(F.min(place).alias("best"), F.max(place).alias("last")).where("best != last").drop("last")
     both = windows.join(best, "key")
@@ -303,39 +273,43 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``k, ord, repeated, later``: merged word spans of each row that has any.
+    """``digest, ord, repeated, later``: merged word spans of each row that has any.
 
     Equal texts are looked into once, as the first of them; the others repeat it as a whole.
     """
     prepare(docs.sparkSession)
     own = _documents(docs, id_col, text_col)
-    suffixes = pinned(_suffixes(own.select("k", "text")))
-    place = F.struct("k", "at")
-    often = suffixes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("low"), F.max(place).alias("high"))
-    often = pinned(often.where("low != high").select("h", "n"))
-    found = suffixes.join(often, "h").groupBy("k").agg(F.collect_set(F.struct("at", "h", (F.col("n") > HOT).alias("hot"))).alias("found"))
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    rows = own.select("k", "ord", words.alias("n_words")).distinct()
-    texts = pinned(rows.groupBy("k").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.max("n_words").alias("n_words")))
-    found = found.join(texts.select("k", F.col("first_ord").alias("ord")), "k")
-    contexts = own.select("k", "text").join(found, "k").select("k", "ord", "text", "found").mapInArrow(_contexts, _CONTEXT)
+    texts = own.groupBy("digest").agg(F.min("ord").alias("ord"), F.max("ord").alias("last_ord"), F.first("text").alias("text"))
+    texts = pinned(texts.withColumn("k", F.monotonically_increasing_id()))
+    suffixes = pinned(_suffixes(texts.where(F.length("text") >= 2 * LEAST - 1)))
+    often = pinned(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    found = suffixes.join(often, "key")
+
+    def in_texts(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy("k").agg(F.collect_list(F.struct("key", "at", "low", "high")).alias("found"))
+        return texts.select("k", "ord", "text").join(lists, "k").select("k", "ord", "text", "found")
+
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = contexts.where(~F.col("hot")).repartition(width, "h").sortWithinPartitions("h").mapInArrow(_match_sorted, "k long, first long, end long, kept boolean")
-    if not often.where(F.col("n") > HOT).isEmpty():
-        spans = spans.unionByName(_match_windows(contexts.where("hot"), width))
+    runs = in_texts(found.where(F.col("n") <= RUN)).mapInArrow(_around, "key long, ord long, k long, at long, low int, high int, words binary")
+    spans = runs.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_match_sorted, "k long, first long, end long, kept boolean")
+    if not often.where(F.col("n") > RUN).isEmpty():
+        windows = in_texts(found.where(F.col("n") > RUN)).mapInArrow(_single_windows, "key binary, ord long, k long, first long")
+        spans = spans.unionByName(_match_windows(pinned(windows)))
     lists = spans.groupBy("k").agg(F.collect_set(F.struct("first", "end", "kept")).alias("spans"))
     span = "array<struct<first:bigint,end:bigint>>"
     merged_spans = lists.mapInArrow(_merge, f"k long, repeated {span}, later {span}")
 
+    copies = F.col("ord") != F.col("last_ord")
+    n_words = F.when(copies, F.regexp_count("text", F.lit(_word.pattern))).cast("long")
+    known = texts.select("k", "digest", F.col("ord").alias("first_ord"), F.coalesce(n_words >= LEAST, F.lit(False)).alias("copied"), n_words.alias("n_words"))
+    both = known.join(merged_spans, "k", "left").where("copied or repeated is not null")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("end")))
     none = F.array().cast(span)
-    copied = (F.col("first_ord") != F.col("last_ord")) & (F.col("n_words") >= LEAST)
-    both = texts.join(merged_spans, "k", "left").where(copied | F.col("repeated").isNotNull())
-    return rows.select("k", "ord").join(both, "k").select(
-        "k",
+    return own.select("digest", "ord").distinct().join(both, "digest").select(
+        "digest",
         "ord",
-        F.when(copied, whole).otherwise(F.col("repeated")).alias("repeated"),
-        F.when(copied & (F.col("ord") != F.col("first_ord")), whole).otherwise(F.coalesce("later", none)).alias("later"),
+        F.when(F.col("copied"), whole).otherwise(F.col("repeated")).alias("repeated"),
+        F.when(F.col("copied") & (F.col("ord") != F.col("first_ord")), whole).otherwise(F.coalesce("later", none)).alias("later"),
     )
 
 
@@ -345,12 +319,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A span is a stretch of words, each in a passage of at least 50 words that occurs elsewhere;
     ``superfluous_words`` says how many of them an earlier copy already holds (0 where the copy is the
     first). Copies are ordered by id, null last, then by place. Words are separated by ASCII white
-    space and compared exactly. Null, empty and shorter texts have no span. Rows that repeat an id
+    space and compared exactly; words over 64 bytes, whole texts and the windows of runs of more than
+    ``RUN`` suffixes are told apart by digests of 128 bits or more. Null, empty and shorter texts have no span. Rows that repeat an id
     with the same text are one document, and each gets its spans. An empty table gives an empty
     result; other columns are not looked at.
     """
     spans = pinned(_spans(docs, id_col, text_col))
-    named = _documents(docs, id_col, text_col).select("doc_id", "ord", "k").join(spans, ["k", "ord"])
+    named = _documents(docs, id_col, text_col).select("doc_id", "ord", "digest").join(spans, ["digest", "ord"])
     each = named.select("doc_id", F.explode("repeated").alias("r"), "later")
     shared = F.aggregate(
         "later",
@@ -377,7 +352,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Other columns stay; a text without a superfluous span stays as it is, empty and null ones too.
     """
-    spans = pinned(_spans(docs, id_col, text_col)).where(F.size("later") > 0).select(F.col("k").alias("_k"), F.col("ord").alias("_o"), F.col("later").alias("_later"))
+    spans = pinned(_spans(docs, id_col, text_col)).where(F.size("later") > 0).select(F.col("digest").alias("_k"), F.col("ord").alias("_o"), F.col("later").alias("_later"))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -386,7 +361,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = text_of(docs, text_col)
     tagged = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("_doc"),
-        F.xxhash64(text, F.length(text)).alias("_key"),
+        F.unhex(F.md5(text)).alias("_key"),
         F.coalesce(docs[id_col].try_cast("long"), F.lit((1 << 63) - 1)).alias("_ord"),
     )
     joined = tagged.join(spans, (F.col("_key") == F.col("_k")) & (F.col("_ord") == F.col("_o")), "left")

@@ -95,10 +95,9 @@ def slow_passages(rows):
     return repeated, later
 
 
-@pytest.mark.parametrize("hot,together", [(20_000, 20_000), (3, 50), (0, 50)])
-def test_passages(docs, monkeypatch, hot, together):
-    monkeypatch.setattr(suffixes, "HOT", hot)
-    monkeypatch.setattr(suffixes, "TOGETHER", together)
+@pytest.mark.parametrize("run", [8192, 3, 0])
+def test_passages(docs, monkeypatch, run):
+    monkeypatch.setattr(suffixes, "RUN", run)
     rows = {(r.doc_id, r.text) for r in docs.where("doc_id is not null and text is not null").collect()}
     repeated, later = slow_passages(rows)
     got, more = defaultdict(set), defaultdict(set)
