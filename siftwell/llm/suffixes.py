@@ -65,8 +65,8 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
 
 def _rolling(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of every ``width`` consecutive words."""
-    n = len(words) - width + 1
-    sums = np.zeros(max(n, 0), np.uint64)
+    n = max(0, len(words) - width + 1)
+    sums = np.zeros(n, np.uint64)
     for j in range(width):
         sums = sums * np.uint64(_FACTOR) + words[j : j + n]
     return _mixed(sums)

@@ -108,6 +108,14 @@ def test_passages(docs, monkeypatch, run):
     assert {i: sum(n for _, n in x) for i, x in more.items()} == {i: len(later[i]) for i in repeated}
 
 
+@pytest.mark.parametrize("n", [0, 1, 22, 29, 49, 50, 51, 300])
+def test_each_window_is_looked_into_once(n):
+    words = np.random.default_rng(n).integers(0, 5, n, dtype=np.uint64)
+    _, at, low, high = suffixes.suffix_rows(words)
+    windows = sorted(p - a for p, least, most in zip(at.tolist(), low.tolist(), high.tolist(), strict=True) for a in range(least, most + 1))
+    assert windows == list(range(max(0, n - 49)))
+
+
 def test_cut_text(docs):
     rows = {(r.doc_id, r.text) for r in docs.where("doc_id is not null and text is not null").collect()}
     _, later = slow_passages(rows)
@@ -123,10 +131,19 @@ def test_lines(spark, monkeypatch):
     rows = [(3, "\n".join(base)), (1, "\n".join([*near, "short"])), (2, base[1] + "!\n" + base[0]), (None, base[0]), (7, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = slow_lines(rows)
-    for hot, tile in ((16, 4000), (2, 4000), (2, 5)):
-        monkeypatch.setattr(lines, "HOT", hot)
+    for tile in (4000, 5):
         monkeypatch.setattr(lines, "TILE", tile)
-        assert {(r.doc_id, r.line_no): r.kept for r in lines.fuzzy_lines(docs).collect()} == want
+        found = lines.fuzzy_lines(docs).collect()
+        assert {(r.doc_id, r.line_no): r.kept for r in found} == {at: kept for at, (kept, _) in want.items()}
+        # the same lines are together, whatever a component is called
+        names, numbers = defaultdict(set), defaultdict(set)
+        for r in found:
+            if r.component is not None:
+                names[r.component].add((r.doc_id, r.line_no))
+        for at, (_, root) in want.items():
+            if root is not None:
+                numbers[root].add(at)
+        assert {frozenset(x) for x in names.values()} == {frozenset(x) for x in numbers.values()}
 
 
 def slow_lines(rows):
@@ -139,7 +156,7 @@ def slow_lines(rows):
     for i, n, line in places:
         kept = line not in roots or roots[line] not in seen
         seen.add(roots.get(line))
-        out[None if i == 1 << 62 else i, n] = kept
+        out[None if i == 1 << 62 else i, n] = (kept, roots.get(line))
     return out
 
 
@@ -160,3 +177,27 @@ def test_bands_do_not_depend_on_neighbours():
     some = ["abc", "a longer line of text", "é", "abcde", "x" * 300]
     together = lines.bands(some)
     assert all((lines.bands([x])[0] == row).all() for x, row in zip(some, together, strict=True))
+
+
+def test_line_hash_is_sparks(spark):
+    from pyspark.sql import functions as F
+
+    some = ["", "a", "a line of text", "é ü 漢字 " * 30, "x" * 31, "x" * 32, "x" * 33]
+    got = spark.createDataFrame([(x,) for x in some], "line string").select("line", F.xxhash64("line").alias("h")).collect()
+    assert all(r.h % (1 << 64) == lines._hash(r.line) for r in got)
+
+
+def test_shared_keys_pass_in_any_cut(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    entries = np.zeros(4000, lines._entry)
+    entries["key"], entries["h"] = rng.integers(0, 1500, 4000), rng.integers(0, 40, 4000)
+    entries["key"][:500] = 7
+    want = {(int(k), int(h)) for k, h in entries.tolist()}
+    several = {k for k in {k for k, _ in want} if sum(1 for x in want if x[0] == k) > 1}
+    for held in (1, 100, 10_000):
+        monkeypatch.setattr(lines, "HELD", held)
+        batch = pa.RecordBatch.from_pydict({"bucket": [0] * 40, "entries": [entries[i : i + 100].tobytes() for i in range(0, 4000, 100)]})
+        got = {(k, h) for out in lines._shared([batch]) for k, h in zip(out["key"].to_pylist(), out["h"].to_pylist(), strict=True)}
+        assert got == {(k, h) for k, h in want if k in several}

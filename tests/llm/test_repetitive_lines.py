@@ -5,7 +5,7 @@ from siftwell.llm import lines
 
 def test_ruling_meets_a_short_line():
     texts = ["abcdefghij" * 40, "-" * 20, "abcdefghijabcd"]
-    assert lines.jaccard(lines.shingles(texts[0]), lines.shingles(texts[2])) == 1.0
+    assert lines.shingles(texts[0]) == lines.shingles(texts[2])
     assert {tuple(sorted(e)) for e in lines.link_lines([1, 2, 3], texts, [1, 2, 3])} == {(1, 3)}
 
 
