@@ -3,8 +3,8 @@
 A line's character shingles give a signature; bands of it bring lines together that may be alike.
 Candidates are verified by the exact Jaccard similarity of their shingle sets, links are joined to
 components by distributed union-find, and the first line of each component stays. Equal lines are
-merged before anything is compared, and a bucket that very many lines share passes on only a
-spanning forest.
+compared once. What is shuffled for the bands is 16 bytes a band and line, packed by bucket; only the
+lines that share a band with another travel themselves.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import pinned, prepare, text_of
@@ -22,33 +21,40 @@ from siftwell.llm.graph import components
 
 #: Characters of a shingle, least similarity of a link.
 SHINGLE, LEAST = 5, 0.8
-#: Bands of signature values: a pair at LEAST shares a band with probability 1 - (1 - 0.8**3)**10 > 0.999.
-BANDS, ROWS = 10, 3
+#: Bands of signature values: a pair at LEAST shares a band with probability 1 - (1 - 0.8**5)**18 > 0.999.
+BANDS, ROWS = 18, 5
 #: The lowest bits of a key name its band.
-BAND_BITS = 4
-#: Buckets of more lines are linked inside a task instead of pair by pair; past TILE lines, by pairs of tiles.
-HOT, TILE = 16, 4000
+BAND_BITS = 5
+#: Lines of a bucket that one task compares; more of them are compared by pairs of such tiles.
+TILE = 4000
+#: Characters whose signatures are computed together, and band entries that are held at once.
+SWEEP, HELD = 1 << 16, 1 << 20
+#: Bits of the filter that says which lines may be candidates: at least 16 a candidate, and at most 2**MOST_BITS.
+MOST_BITS = 29
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+_SEEDS = np.array([pow(0x9E3779B1, i + 1, 1 << 32) | 1 for i in range(BANDS * ROWS)], np.uint32)
+_SPACE = " \t\n\x0b\x0c\r"
+_entry = np.dtype([("key", "<i8"), ("h", "<i8")])
 
 
-def shingles(line: str) -> np.ndarray:
-    """Distinct hashes of the character shingles of ``line``; a shorter line is one shingle."""
-    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-    width = min(SHINGLE, len(points))
-    n = len(points) - width + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(width):
-        h = (h ^ (h >> np.uint64(29))) * _MULTIPLY + points[k : k + n]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(h ^ (h >> np.uint64(29)))
-
-
-_SEEDS = np.array([pow(0x9E3779B1, i + 1, 1 << 32) | 1 for i in range(BANDS * ROWS)], np.uint32)
-_NONE = np.uint32(0xFFFFFFFF)
+def shingles(line: str) -> set[str]:
+    """Distinct character shingles of ``line``; a shorter line is one shingle."""
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def bands(lines: list[str]) -> np.ndarray:
-    """Keys (lines, BANDS) of the MinHash signatures of all ``lines``, none of them empty, in one sweep."""
+    """Keys (lines, BANDS) of the MinHash signatures of all ``lines``, none of them empty."""
+    parts, at, size = [], 0, 0
+    for i, line in enumerate(lines):
+        if size + len(line) > SWEEP and i > at:
+            parts.append(_bands(lines[at:i]))
+            at, size = i, 0
+        size += len(line)
+    parts.append(_bands(lines[at:]) if at < len(lines) else np.empty((0, BANDS), np.int64))
+    return np.concatenate(parts)
+
+
+def _bands(lines: list[str]) -> np.ndarray:
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
     first = np.cumsum(sizes) - sizes
@@ -61,67 +67,155 @@ def bands(lines: list[str]) -> np.ndarray:
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         small = (h >> np.uint64(32)).astype(np.uint32)
         # a shingle lies in its line; a line shorter than one is one shingle
-        outside = (left < SHINGLE) & (np.arange(len(points)) > np.repeat(first, sizes))
+        small = small[(left >= SHINGLE) | (np.arange(len(points)) == np.repeat(first, sizes))]
+        n = np.maximum(sizes - SHINGLE + 1, 1)
+        first = np.cumsum(n) - n
         keys = np.zeros((BANDS, len(lines)), np.uint64)
+        mixed, shifted = np.empty_like(small), np.empty_like(small)
         for i, seed in enumerate(_SEEDS):
-            mixed = small * seed
-            mixed ^= mixed >> np.uint32(15)
-            mixed[outside] = _NONE
+            np.multiply(small, seed, out=mixed)
+            np.right_shift(mixed, np.uint32(15), out=shifted)
+            np.bitwise_xor(mixed, shifted, out=mixed)
             low = np.minimum.reduceat(mixed, first).astype(np.uint64)
             band = i // ROWS
             keys[band] = (keys[band] ^ (keys[band] >> np.uint64(31))) * _MULTIPLY + low + np.uint64(1)
-        keys = (keys * _MULTIPLY) >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)
+        keys = (keys ^ (keys >> np.uint64(29))) * _MULTIPLY
+        keys = keys >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)
         return (keys + np.arange(BANDS, dtype=np.uint64)[:, None]).T.copy().view(np.int64)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def _with_words(text: str) -> list[str]:
+    return [line for line in text.split("\n") if line.strip(_SPACE)]
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, h`` of every band of the different lines of each batch of texts."""
-    for batch in batches:
-        held: dict[str, int] = {}
-        for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held[line] = h
-        keys = bands(list(held)) if held else np.empty((0, BANDS), np.int64)
-        yield pa.RecordBatch.from_pydict({
-            "key": pa.array(keys.reshape(-1)),
-            "h": pa.array(np.repeat(np.fromiter(held.values(), np.int64, len(held)), BANDS)),
-        })
+def _hash(line: str) -> int:
+    """Spark's ``xxhash64`` of a string, unsigned."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(line.encode(), 42)
+
 
+def _packed_bands(buckets: int):
+    """Texts to rows ``bucket, entries``: the band keys and hashes of their different lines, packed by bucket of the key."""
 
-def link_lines(ids: list[int], lines: list[str], roots: list[int]) -> list[tuple[int, int]]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            entries = np.concatenate(held)
+            bucket = (entries["key"].view(np.uint64) >> np.uint64(BAND_BITS)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            entries, bucket = entries[order], bucket[order]
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            rows = [entries[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cut[:-1]].astype(np.int32)), "entries": pa.array(rows, pa.binary())})
+
+        for batch in batches:
+            fresh: dict[int, str] = {}
+            for text in batch.column(0).to_pylist():
+                for line in _with_words(text):
+                    h = _hash(line)
+                    if h not in seen:
+                        seen.add(h)
+                        fresh[h] = line
+            if fresh:
+                entries = np.empty((len(fresh), BANDS), _entry)
+                entries["key"] = bands(list(fresh.values()))
+                entries["h"] = np.fromiter(fresh, np.uint64, len(fresh)).view(np.int64)[:, None]
+                held.append(entries.reshape(-1))
+            if sum(map(len, held)) >= HELD:
+                yield out()
+            if len(seen) > HELD:  # a line that comes again later is packed again
+                seen.clear()
+        if held:
+            yield out()
+
+    return pack
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`_packed_bands`, sorted by bucket, to ``key, h`` of the keys that several lines have.
+
+    Of a bucket only one hash for each key is remembered, so a key of very many lines streams through.
+    """
+
+    def passed(known: np.ndarray, done: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known keys with a hash each and whether it was passed on, brought up to date, and what passes now."""
+        new = np.unique(new)
+        both = np.concatenate([known, new])
+        old = np.concatenate([np.ones(len(known), bool), np.zeros(len(new), bool)])
+        done = np.concatenate([done, np.zeros(len(new), bool)])
+        order = np.lexsort((~old, both["key"]))
+        both, old, done = both[order], old[order], done[order]
+        first = np.concatenate([[True], both["key"][1:] != both["key"][:-1]])
+        group = np.cumsum(first) - 1
+        head = np.flatnonzero(first)
+        several = np.bincount(group, both["h"] != both["h"][head][group]) > 0
+        out = (several[group] | done[head][group]) & ~done & (~old | several[group])
+        return both[head], done[head] | several, both[out]
+
+    bucket, known, done, held, rows = None, np.empty(0, _entry), np.empty(0, bool), [], 0
+
+    def record(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"key": pa.array(found["key"].copy()), "h": pa.array(found["h"].copy())})
+
+    for batch in batches:
+        for b, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (b != bucket or rows >= HELD) and held:
+                known, done, found = passed(known, done, np.concatenate(held))
+                held, rows = [], 0
+                yield record(found)
+            if b != bucket:
+                bucket, known, done = b, np.empty(0, _entry), np.empty(0, bool)
+            held.append(np.frombuffer(entries, _entry))
+            rows += len(held[-1])
+    if held:
+        yield record(passed(known, done, np.concatenate(held))[2])
+
+
+def link_lines(nodes: list, lines: list[str], roots: list) -> list[tuple]:
     """Edges that, with those of equal ``roots``, join what the similar lines among ``lines`` would join."""
-    found = [shingles(line) for line in lines]
-    order = sorted(range(len(ids)), key=lambda i: (len(found[i]), ids[i]))
-    sets = [found[i] for i in order]
-    parent = list(range(len(order)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    heads: dict[int, int] = {}
-    for i, place in enumerate(order):
-        parent[i] = heads.setdefault(roots[place], i)
+    sets = [shingles(line) for line in lines]
+    order = sorted(range(len(nodes)), key=lambda i: (len(sets[i]), nodes[i]))
+    sizes = np.array([len(sets[i]) for i in order])
+    heads: dict = {}
+    group = np.array([heads.setdefault(roots[i], at) for at, i in enumerate(order)])
     edges = []
-    for i in range(len(order)):
-        for j in range(i - 1, -1, -1):
-            if len(sets[j]) < LEAST * len(sets[i]):
-                break
-            a, b = root(i), root(j)
-            if a != b and jaccard(sets[i], sets[j]) >= LEAST:
-                parent[a] = b
-                edges.append((ids[order[i]], ids[order[j]]))
+    for at, i in enumerate(order):
+        low = int(np.searchsorted(sizes, LEAST * sizes[at]))
+        for j in (low + np.flatnonzero(group[low:at] != group[at])[::-1]).tolist():
+            if group[j] != group[at]:
+                other = sets[order[j]]
+                both = len(sets[i] & other)
+                if both >= LEAST * (len(sets[i]) + len(other) - both):
+                    edges.append((nodes[i], nodes[order[j]]))
+                    group[group == group[at]] = group[j]
     return edges
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, ord, k, line_no, line, h`` of every line; ``h`` is null for a line without a word."""
+def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, s, t, node, root, line``, sorted by the first three, to the edges of each group of them."""
+    at, nodes, lines, roots = None, [], [], []
+
+    def out() -> pa.RecordBatch:
+        edges = link_lines(nodes, lines, roots) if len(nodes) > 1 else []
+        return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
+
+    for batch in batches:
+        for key, s, t, node, root, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (key, s, t) != at:
+                yield out()
+                at, nodes, lines, roots = (key, s, t), [], [], []
+            nodes.append(node)
+            roots.append(root)
+            lines.append(line)
+    yield out()
+
+
+def _line_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, ord, k, line_no, line, node`` of every line; ``node``, its digest, is null for a line without a word."""
     text = text_of(docs, text_col)
     own = docs.select(
         docs[id_col].alias("doc_id"),
@@ -129,75 +223,103 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64(docs[id_col], text).alias("k"),
         F.posexplode(F.split(text, "\n")).alias("line_no", "line"),
     )
-    return own.withColumn("h", F.when(F.col("line").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("line")))
+    return own.withColumn("node", F.when(F.trim("line", F.lit(_SPACE)) != "", _digest(F.col("line"))))
 
 
-def _similar(texts_a: pd.Series, texts_b: pd.Series) -> pd.Series:
-    return pd.Series([jaccard(shingles(a), shingles(b)) >= LEAST for a, b in zip(texts_a, texts_b, strict=True)], dtype=bool)
+def _digest(line: Column) -> Column:
+    return F.unhex(F.md5(line))
 
 
-def _linked(members: DataFrame, known: DataFrame) -> DataFrame:
-    """``a, b`` for ``members (key, h, root)``: similar lines with a common key, as far as their roots differ."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_keys = sizes.where("low != high").select("key", "n")
-    shared = pinned(members.join(open_keys, "key"))
+def _filter_of(hashes: DataFrame) -> np.ndarray:
+    """Bits that are set for all ``hashes (h)``; the number of bits has a fixed bound, so more hashes only make it coarser."""
+    bits = min(MOST_BITS, max(16, (16 * hashes.count()).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.groupBy(F.shiftright(place, 5).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 31 AS INT)))").alias("word"))
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    found = words.toArrow()
+    out[found["at"].to_numpy()] = found["word"].to_numpy().astype(np.uint32)
+    return out
 
-    cold = shared.where(F.col("n") <= HOT)
-    different = (F.col("x.h") < F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
-    pairs = cold.alias("x").join(cold.alias("y"), (F.col("x.key") == F.col("y.key")) & different)
-    pairs = pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
-    similar = F.pandas_udf(_similar, "boolean")
-    both = pairs.join(known.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(known.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    links = both.where(similar("line_a", "line_b")).select("a", "b")
-    hot = shared.where(F.col("n") > HOT)
-    if hot.isEmpty():
-        return links
 
-    tiles = F.ceil(F.col("n") / TILE)
-    own = F.pmod(F.col("h"), tiles)
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda t: F.struct(F.least(t, own).alias("s"), F.greatest(t, own).alias("t")))
-    spread = hot.select("key", "h", "root", F.explode(meet).alias("tile")).join(known, "h")
+def _candidate_lines(shared):
+    """Texts to ``h, node, line`` of their lines that pass the filter."""
 
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(link_lines(group["h"].tolist(), group["line"].tolist(), group["root"].tolist()), columns=["a", "b"], dtype=np.int64)
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import md5
 
-    return links.unionByName(spread.groupBy("key", "tile.s", "tile.t").applyInPandas(link, "a long, b long"))
+        bits = shared.value
+        mask = 32 * len(bits) - 1
+        for batch in batches:
+            lines = list({line for text in batch.column(0).to_pylist() for line in _with_words(text)})
+            h = np.fromiter(map(_hash, lines), np.uint64, len(lines))
+            place = h & np.uint64(mask)
+            hit = np.flatnonzero((bits[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+            some = [lines[i] for i in hit.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array([md5(x.encode()).digest() for x in some], pa.binary()), pa.array(some, pa.string())], names=["h", "node", "line"])
 
+    return choose
 
-def line_roots(lines: DataFrame) -> DataFrame:
-    """``node, root`` of every line that is similar to another, by hash.
+
+def _linked(members: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """``a, b`` for ``members (key, node, root)``: similar lines with a common key, as far as their roots differ."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_keys = sizes.where("low != high").select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
+    own = F.pmod(F.xxhash64("node"), F.col("tiles"))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.struct(F.least(t, own).alias("s"), F.greatest(t, own).alias("t")))
+    spread = members.join(open_keys, "key").select("key", "node", "root", F.explode(F.array_distinct(meet)).alias("tile")).join(known, "node")
+    groups = spread.select("key", "tile.s", "tile.t", "node", "root", "line").repartition(width, "key", "s", "t").sortWithinPartitions("key", "s", "t")
+    return groups.mapInArrow(_link_sorted, "a binary, b binary")
+
+
+def line_roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``node, root`` of every line that is similar to another, by digest.
 
     The first band joins most of what belongs together; of the other bands only keys whose lines lie in
     different components are looked into.
     """
-    texts = lines.where("h is not null").select("h", "line")
-    width = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.mapInArrow(_band_rows, "key long, h long").repartition(width, "key").dropDuplicates(["key", "h"])
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    shared = pinned(rows.join(sizes, "key").select("key", "h"))
-    band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1))
-    known = pinned(texts.join(shared.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]))
+    texts = docs.select(text_of(docs, text_col).alias("text"))
+    spark = docs.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = texts.mapInArrow(_packed_bands(4 * width), "bucket int, entries binary")
+    shared = packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key long, h long")
+    shared = pinned(shared.distinct())
+    hashes = pinned(shared.select("h").distinct())
+    bits = spark.sparkContext.broadcast(_filter_of(hashes))
+    lines = texts.mapInArrow(_candidate_lines(bits), "h long, node binary, line string")
+    known = pinned(lines.join(hashes, "h", "left_semi").groupBy("node").agg(F.first("h").alias("h"), F.first("line").alias("line")))
 
-    first = components(_linked(shared.where(band == 0).select("key", "h", F.col("h").alias("root")), known))
-    rest = shared.where(band > 0).join(first, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root"))
-    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_linked(rest, known)))
+    band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1))
+    members = pinned(shared.join(known.select("h", "node"), "h").select("key", "node"))
+    texts_of = known.select("node", "line")
+    first = components(_linked(members.where(band == 0).withColumn("root", F.col("node")), texts_of, width))
+    found = first.withColumnRenamed("node", "n")
+    rest = members.where(band > 0).join(found, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    edges = _linked(pinned(rest), texts_of, width)
+    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges))
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: ``doc_id, line_no`` (from 0), ``component`` and ``kept``.
 
     Lines are cut at newlines. Of a component, lines joined by steps of similarity 0.8 or more over
-    five-character shingles, the first line stays, by id (null last) and line number. Lines without a
-    word belong to no component and stay; a null or empty text is one such line. Lines shorter than a
-    shingle are compared as wholes. A line is known by a 64-bit hash. Rows that repeat an id with the
-    same text are one document. An empty table gives an empty result; other columns are not looked at.
+    five-character shingles, the first line stays, by id (null last) and line number; ``component`` is
+    a 128-bit digest in hexadecimal. Lines without a word belong to no component and stay; a null or
+    empty text is one such line. Lines shorter than a shingle are compared as wholes. Rows that repeat
+    an id with the same text are one document. An empty table gives an empty result; other columns are
+    not looked at.
     """
     prepare(docs.sparkSession)
-    lines = _lines(docs, id_col, text_col)
-    roots = line_roots(lines)
-    places = lines.select("doc_id", "ord", "k", "line_no", "h")
-    named = places.join(roots, places["h"] == roots["node"], "left").withColumn("component", F.coalesce("root", "h")).drop("node", "root")
-    first = named.where("component is not null").groupBy("component").agg(F.min(F.struct("ord", "k", "line_no")).alias("first"))
-    marked = named.join(first.withColumnRenamed("component", "c"), F.col("component") == F.col("c"), "left")
-    kept = F.col("component").isNull() | (F.struct("ord", "k", "line_no") == F.col("first"))
-    return marked.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "component", kept.alias("kept"))
+    roots = line_roots(docs, text_col)
+    places = _line_columns(docs, id_col, text_col).drop("line")
+    place = F.struct("ord", "k", "line_no")
+    firsts = places.where("node is not null").groupBy("node").agg(F.min(place).alias("first"))
+    named = firsts.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "root", "first")
+    named = pinned(named)
+    # of a component of several different lines only the first place stays
+    best = named.where("root is not null").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first").alias("best"))
+    alone = named.where("root is null").select("node", F.col("node").alias("component"), "first")
+    alike = named.where("root is not null").join(best, F.col("first") == F.col("best"), "left").select("node", F.col("root").alias("component"), F.col("best").alias("first"))
+    table = alone.unionByName(alike).withColumnRenamed("node", "n")
+    marked = places.join(table, F.col("node") == F.col("n"), "left")
+    kept = F.col("node").isNull() | F.coalesce(F.col("first") == place, F.lit(False))
+    return marked.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.lower(F.hex("component")).alias("component"), kept.alias("kept"))
