@@ -9,8 +9,9 @@ there occur once are dropped. What is left falls into runs that share those word
 run are sorted by the words that follow and by those that precede, and what neighbours have in
 common extends each to the right and to the left: two windows are equal where both extensions reach.
 
-A run of more than ``RUN`` suffixes is split further, down to the windows themselves, so that no
-task holds more than some ``RUN`` suffixes of bounded size, however often a passage occurs.
+A run of more than ``RUN`` suffixes is split further, by the words that ``FINER`` windows share and then
+down to the windows themselves, so that no task holds more than some ``RUN`` suffixes of bounded size,
+however often a passage occurs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LEAST, GRAM = 50, 8
 LEFT, HALF = LEAST - GRAM, (LEAST - GRAM) // 2
 #: Suffixes of a run, and of several runs together, that one task matches in memory.
 RUN = 8192
+#: Windows of a suffix that stay together when a longer run is split.
+FINER = 6
 #: Bytes of a word that are carried along; a longer one is known by its SHA-256.
 LONG_WORD = 64
 _FACTOR = 0x9E3779B97F4A7C15
@@ -116,11 +119,12 @@ def _in_common(codes: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def match_runs(key: np.ndarray, order: np.ndarray, k: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, words: pa.Array) -> dict[str, np.ndarray]:
     """Repeated stretches of whole runs of equal ``key``: ``k, first, end, kept``.
 
-    ``words`` holds the words of each suffix from ``high`` before its position to the end of its last
+    ``k`` names the text. ``words`` holds the words of each suffix from ``high`` before its position to the end of its last
     window. ``kept`` is true for all that repeats and false again for what an earlier copy makes
     superfluous.
     """
     by = np.lexsort((at, k, order, key))  # of equal windows the earliest comes first
+    by = by[np.concatenate([[True], (key[by[1:]] != key[by[:-1]]) | (k[by[1:]] != k[by[:-1]]) | (at[by[1:]] != at[by[:-1]])])]
     key, k, at, low, high, words = key[by], k[by], at[by], low[by], high[by], words.take(pa.array(by))
     n, run = len(key), np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     lists = pc.split_pattern(words, " ")
@@ -162,67 +166,105 @@ def match_runs(key: np.ndarray, order: np.ndarray, k: np.ndarray, at: np.ndarray
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, ord, digest, text`` of every row: its place in the order of documents, and the digest of its text."""
+    """``doc_id, ord, k, text`` of every row: its place in the order of documents, and the digest of its text."""
     text = text_of(docs, text_col)
     order = F.coalesce(docs[id_col].try_cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(docs[id_col].alias("doc_id"), order.alias("ord"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
+    return docs.select(docs[id_col].alias("doc_id"), order.alias("ord"), F.unhex(F.md5(text)).alias("k"), text.alias("text"))
 
 
-def _suffixes(texts: DataFrame) -> DataFrame:
-    """``k, key, at, low, high`` of every kept suffix of ``texts (k, text)``."""
+def _packed(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (at.astype(np.int64) << 16) | (low << 8) | high
+
+
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 16, (place >> 8) & 255, place & 255
+
+
+def _suffixes(own: DataFrame) -> DataFrame:
+    """``k, key, place`` of every kept suffix of ``own (k, text)``; a null key comes with the words of the text."""
 
     def worker():
         def work(texts: list[str]):
-            found = [suffix_rows(word_hashes(t)) for t in texts]
-            rows = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
-            return rows, [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(4)]
+            rows, keys, places = [], [], []
+            for i, text in enumerate(texts):
+                words = word_hashes(text)
+                if len(words) >= LEAST:
+                    key, *place = suffix_rows(words)
+                    rows.append(np.full(len(key) + 1, i))
+                    keys.append(np.concatenate([key, [0]]))
+                    places.append(np.concatenate([_packed(*place), [-len(words)]]))
+            if not rows:
+                return np.empty(0, np.int64), [np.empty(0, np.int64)] * 2
+            place = np.concatenate(places)
+            return np.concatenate(rows), [pa.array(np.concatenate(keys), mask=place < 0), place]
 
         return work
 
-    return map_texts(texts, "k", "text", "key long, at long, low int, high int", worker).withColumnRenamed("doc_id", "k")
+    return map_texts(own, "k", "text", "key long, place long", worker).withColumnRenamed("doc_id", "k")
 
 
-def _each_suffix(batches: Iterator[pa.RecordBatch]):
-    """``k, ord, words, key, at, low, high`` of rows ``k, ord, text, found``; the last four are arrays."""
+def _each_text(batches: Iterator[pa.RecordBatch]):
+    """``k, ord, words, keys, places`` of rows ``k, ord, text, found``."""
     from hashlib import sha256
 
     for batch in batches:
         found = batch.column(3)
         ends, parts = found.offsets.to_numpy() - found.offsets[0].as_py(), found.flatten()
-        key, at, low, high = (pc.struct_field(parts, c).to_numpy() for c in ("key", "at", "low", "high"))
+        key, place = (pc.struct_field(parts, c).to_numpy() for c in ("key", "place"))
         for i, (k, order, text) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True)):
-            own = slice(ends[i], ends[i + 1])
             words = [w if len(w) <= LONG_WORD else b"\0" + sha256(w).hexdigest().encode() for w in text.encode().split()]
-            yield k, order, words, key[own], at[own], low[own], high[own]
+            yield k, order, words, key[ends[i] : ends[i + 1]], place[ends[i] : ends[i + 1]]
+
+
+def _rows(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if isinstance(c, list) else pa.array(c) for c in columns], names=names)
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each suffix, with the words that its windows hold."""
-    for k, order, words, key, at, low, high in _each_suffix(batches):
-        n = len(at)
+    for k, order, words, key, place in _each_text(batches):
+        at, low, high = _unpacked(place)
         held = [b" ".join(words[p - b : p - a + LEAST]) for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)]
-        columns = [key, np.full(n, order), np.full(n, k), at, low, high, pa.array(held, pa.binary())]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "ord", "k", "at", "low", "high", "words"])
+        yield _rows(["key", "ord", "k", "place", "words"], key, np.full(len(key), order), [k] * len(key), place, held)
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every FINER of the windows of each suffix, under the hash of the words that they share."""
+    from xxhash import xxh3_64_intdigest
+
+    for k, _, words, _, place in _each_text(batches):
+        keys, places = [], []
+        for p, a, b in zip(*[x.tolist() for x in _unpacked(place)], strict=True):
+            for least in range(a - a % FINER, b + 1, FINER):
+                shared = b" ".join(words[p - least : p - least - FINER + 1 + LEAST])
+                keys.append(xxh3_64_intdigest(shared, least))
+                places.append((p << 16) | (max(a, least) << 8) | min(b, least + FINER - 1))
+        yield _rows(["k", "key", "place"], [k] * len(keys), np.array(keys, np.uint64).view(np.int64), np.array(places, np.int64))
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each window of each suffix, under the 128-bit digest of its words."""
     from xxhash import xxh3_128_digest
 
-    for k, order, words, _, at, low, high in _each_suffix(batches):
-        first = [s for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True) for s in range(p - b, p - a + 1)]
-        n = len(first)
-        columns = [pa.array([xxh3_128_digest(b" ".join(words[s : s + LEAST])) for s in first], pa.binary()), np.full(n, order), np.full(n, k), np.array(first, np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "ord", "k", "first"])
+    for k, order, words, _, place in _each_text(batches):
+        first = [s for p, a, b in zip(*[x.tolist() for x in _unpacked(place)], strict=True) for s in range(p - b, p - a + 1)]
+        keys = [xxh3_128_digest(b" ".join(words[s : s + LEAST])) for s in first]
+        yield _rows(["key", "ord", "k", "first"], keys, np.full(len(keys), order), [k] * len(keys), np.array(first, np.int64))
 
 
 def _match_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of :func:`_around`, sorted by key, through :func:`match_runs`: whole runs, some RUN suffixes at a time."""
 
     def done(held: pa.Table) -> pa.RecordBatch:
-        arrays = [np.asarray(held[c]).astype(np.int64) for c in ("key", "ord", "k", "at", "low", "high")]
-        found = match_runs(*arrays, held["words"].combine_chunks())
-        return pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in found.items()})
+        names = pc.dictionary_encode(held["k"].combine_chunks())
+        order, texts = held["ord"].to_numpy(), np.array(names.dictionary.to_pylist(), "S16")
+        # texts of equal place in the order of documents are ordered by digest, the same in every run
+        rank = np.empty(len(texts), np.int64)
+        rank[np.argsort(texts)] = np.arange(len(texts))
+        k = rank[names.indices.to_numpy()]
+        found = match_runs(held["key"].to_numpy(), order, k, *_unpacked(held["place"].to_numpy()), held["words"].combine_chunks())
+        back = names.dictionary.take(pa.array(np.argsort(texts)))
+        return pa.RecordBatch.from_pydict({c: back.take(pa.array(v)) if c == "k" else pa.array(v) for c, v in found.items()})
 
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -241,10 +283,18 @@ def _match_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _match_windows(windows: DataFrame) -> DataFrame:
-    """As :func:`match_runs`, for the windows of runs too long for one task: copies are counted before they are joined."""
+    """As :func:`match_runs`, for the windows of runs too long for one task: copies are counted before they are joined.
+
+    Keys of more than a thousandth of the rows, at most a thousand of them, are joined by broadcast.
+    """
     place = F.struct("ord", "k", "first")
-    best = windows.groupBy("key").agg(F.min(place).alias("best"), F.max(place).alias("last")).where("best != last").drop("last")
-    both = windows.join(best, "key")
+    best = windows.groupBy("key").agg(F.min(place).alias("best"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+    best = pinned(best.where("best != last").drop("last"))
+    often = max(1, windows.count() // 1000)
+    hot = F.broadcast(best.where(F.col("n") > often).drop("n"))
+    marked = windows.join(hot, "key", "left")
+    rest = marked.where("best is null").drop("best").join(best.where(F.col("n") <= often).drop("n"), "key")
+    both = marked.where("best is not null").unionByName(rest)
     own = (F.col("k") == F.col("best.k")) & (F.col("first") - F.col("best.first") < LEAST)
     end = (F.col("first") + LEAST).alias("end")
     # one row says both: a window that repeats, and whether an earlier copy makes it superfluous
@@ -269,44 +319,50 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ks.append(k)
             for kept, out in ((True, repeated), (False, later)):
                 out.append([{"first": a, "end": b} for a, b in merged([s for s in spans if s["kept"] == kept])])
-        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(repeated, kind), pa.array(later, kind)], names=["k", "repeated", "later"])
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(repeated, kind), pa.array(later, kind)], names=["k", "repeated", "later"])
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``digest, ord, repeated, later``: merged word spans of each row that has any.
+    """``k, ord, repeated, later``: merged word spans of each row that has any.
 
     Equal texts are looked into once, as the first of them; the others repeat it as a whole.
     """
     prepare(docs.sparkSession)
     own = _documents(docs, id_col, text_col)
-    texts = own.groupBy("digest").agg(F.min("ord").alias("ord"), F.max("ord").alias("last_ord"), F.first("text").alias("text"))
-    texts = pinned(texts.withColumn("k", F.monotonically_increasing_id()))
-    suffixes = pinned(_suffixes(texts.where(F.length("text") >= 2 * LEAST - 1)))
-    often = pinned(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    found = suffixes.join(often, "key")
+    suffixes = pinned(_suffixes(own.where(F.length("text") >= 2 * LEAST - 1).select("k", "text")))
+    copies = pinned(own.groupBy("k").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")))
+
+    def runs_of(rows: DataFrame) -> DataFrame:
+        """``rows`` whose key occurs in several places, with ``n``, the number of rows that share it."""
+        one = F.struct("k", F.shiftright("place", 16))
+        often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("low"), F.max(one).alias("high"))
+        return rows.join(often.where("low != high").select("key", "n"), "key")
 
     def in_texts(rows: DataFrame) -> DataFrame:
-        lists = rows.groupBy("k").agg(F.collect_list(F.struct("key", "at", "low", "high")).alias("found"))
-        return texts.select("k", "ord", "text").join(lists, "k").select("k", "ord", "text", "found")
+        lists = rows.groupBy("k").agg(F.collect_set(F.struct("key", "place")).alias("found")).join(copies.select("k", F.col("first_ord").alias("ord")), "k")
+        return own.select("k", "ord", "text").join(lists, ["k", "ord"]).select("k", "ord", "text", "found")
 
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = in_texts(found.where(F.col("n") <= RUN)).mapInArrow(_around, "key long, ord long, k long, at long, low int, high int, words binary")
-    spans = runs.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_match_sorted, "k long, first long, end long, kept boolean")
-    if not often.where(F.col("n") > RUN).isEmpty():
-        windows = in_texts(found.where(F.col("n") > RUN)).mapInArrow(_single_windows, "key binary, ord long, k long, first long")
-        spans = spans.unionByName(_match_windows(pinned(windows)))
+    found = pinned(runs_of(suffixes.where("key is not null")))
+    few = in_texts(found.where(F.col("n") <= RUN)).mapInArrow(_around, "key long, ord long, k binary, place long, words binary")
+    if not found.where(F.col("n") > RUN).isEmpty():
+        found = pinned(runs_of(in_texts(found.where(F.col("n") > RUN)).mapInArrow(_finer, "k binary, key long, place long")))
+        few = few.unionByName(in_texts(found.where(F.col("n") <= RUN)).mapInArrow(_around, "key long, ord long, k binary, place long, words binary"))
+    spans = few.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_match_sorted, "k binary, first long, end long, kept boolean")
+    if not found.where(F.col("n") > RUN).isEmpty():
+        windows = in_texts(found.where(F.col("n") > RUN)).mapInArrow(_single_windows, "key binary, ord long, k binary, first long")
+        spans = spans.unionByName(_match_windows(pinned(windows.distinct())))
     lists = spans.groupBy("k").agg(F.collect_set(F.struct("first", "end", "kept")).alias("spans"))
     span = "array<struct<first:bigint,end:bigint>>"
-    merged_spans = lists.mapInArrow(_merge, f"k long, repeated {span}, later {span}")
+    merged_spans = lists.mapInArrow(_merge, f"k binary, repeated {span}, later {span}")
 
-    copies = F.col("ord") != F.col("last_ord")
-    n_words = F.when(copies, F.regexp_count("text", F.lit(_word.pattern))).cast("long")
-    known = texts.select("k", "digest", F.col("ord").alias("first_ord"), F.coalesce(n_words >= LEAST, F.lit(False)).alias("copied"), n_words.alias("n_words"))
-    both = known.join(merged_spans, "k", "left").where("copied or repeated is not null")
+    n_words = suffixes.where("key is null").select("k", (-F.col("place")).alias("n_words")).distinct()
+    copied = F.col("n_words").isNotNull() & (F.col("first_ord") != F.col("last_ord"))
+    both = copies.join(n_words, "k", "left").join(merged_spans, "k", "left").withColumn("copied", copied).where("copied or repeated is not null")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("end")))
     none = F.array().cast(span)
-    return own.select("digest", "ord").distinct().join(both, "digest").select(
-        "digest",
+    return own.select("k", "ord").distinct().join(both, "k").select(
+        "k",
         "ord",
         F.when(F.col("copied"), whole).otherwise(F.col("repeated")).alias("repeated"),
         F.when(F.col("copied") & (F.col("ord") != F.col("first_ord")), whole).otherwise(F.coalesce("later", none)).alias("later"),
@@ -325,7 +381,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     result; other columns are not looked at.
     """
     spans = pinned(_spans(docs, id_col, text_col))
-    named = _documents(docs, id_col, text_col).select("doc_id", "ord", "digest").join(spans, ["digest", "ord"])
+    named = _documents(docs, id_col, text_col).select("doc_id", "ord", "k").join(spans, ["k", "ord"])
     each = named.select("doc_id", F.explode("repeated").alias("r"), "later")
     shared = F.aggregate(
         "later",
@@ -352,7 +408,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Other columns stay; a text without a superfluous span stays as it is, empty and null ones too.
     """
-    spans = pinned(_spans(docs, id_col, text_col)).where(F.size("later") > 0).select(F.col("digest").alias("_k"), F.col("ord").alias("_o"), F.col("later").alias("_later"))
+    spans = pinned(_spans(docs, id_col, text_col)).where(F.size("later") > 0).select(F.col("k").alias("_k"), F.col("ord").alias("_o"), F.col("later").alias("_later"))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
