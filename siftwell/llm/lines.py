@@ -25,8 +25,8 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 18, 5
 #: The lowest bits of a key name its band.
 BAND_BITS = 5
-#: Lines of a bucket that one task compares; more of them are compared by pairs of such tiles.
-TILE = 4000
+#: Buckets of more lines are linked inside a task instead of pair by pair; past TILE lines, by pairs of tiles.
+HOT, TILE = 32, 4000
 #: Characters whose signatures are computed together, and band entries that are held at once.
 SWEEP, HELD = 1 << 16, 1 << 20
 #: Bits of the filter that says which lines may be candidates: at least 16 a candidate, and at most 2**MOST_BITS.
@@ -175,6 +175,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(passed(known, done, np.concatenate(held))[2])
 
 
+def similar(a: set[str], b: set[str]) -> bool:
+    if min(len(a), len(b)) < LEAST * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both >= LEAST * (len(a) + len(b) - both)
+
+
 def link_lines(nodes: list, lines: list[str], roots: list) -> list[tuple]:
     """Edges that, with those of equal ``roots``, join what the similar lines among ``lines`` would join."""
     sets = [shingles(line) for line in lines]
@@ -186,32 +193,43 @@ def link_lines(nodes: list, lines: list[str], roots: list) -> list[tuple]:
     for at, i in enumerate(order):
         low = int(np.searchsorted(sizes, LEAST * sizes[at]))
         for j in (low + np.flatnonzero(group[low:at] != group[at])[::-1]).tolist():
-            if group[j] != group[at]:
-                other = sets[order[j]]
-                both = len(sets[i] & other)
-                if both >= LEAST * (len(sets[i]) + len(other) - both):
-                    edges.append((nodes[i], nodes[order[j]]))
-                    group[group == group[at]] = group[j]
+            if group[j] != group[at] and similar(sets[i], sets[order[j]]):
+                edges.append((nodes[i], nodes[order[j]]))
+                group[group == group[at]] = group[j]
     return edges
 
 
+def _edges(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+
 def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``key, s, t, node, root, line``, sorted by the first three, to the edges of each group of them."""
     at, nodes, lines, roots = None, [], [], []
-
-    def out() -> pa.RecordBatch:
-        edges = link_lines(nodes, lines, roots) if len(nodes) > 1 else []
-        return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
-
     for batch in batches:
+        found = []
         for key, s, t, node, root, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if (key, s, t) != at:
-                yield out()
+                found += link_lines(nodes, lines, roots) if len(nodes) > 1 else []
                 at, nodes, lines, roots = (key, s, t), [], [], []
             nodes.append(node)
             roots.append(root)
             lines.append(line)
-    yield out()
+        yield _edges(found)
+    yield _edges(link_lines(nodes, lines, roots) if len(nodes) > 1 else [])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``a, b, line_a, line_b``, best sorted by a, to the pairs that are similar."""
+    before, own = None, set()
+    for batch in batches:
+        found = []
+        for a, b, line_a, line_b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if a != before:
+                before, own = a, shingles(line_a)
+            if similar(own, shingles(line_b)):
+                found.append((a, b))
+        yield _edges(found)
 
 
 def _line_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -262,13 +280,24 @@ def _candidate_lines(shared):
 
 def _linked(members: DataFrame, known: DataFrame, width: int) -> DataFrame:
     """``a, b`` for ``members (key, node, root)``: similar lines with a common key, as far as their roots differ."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_keys = sizes.where("low != high").select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
-    own = F.pmod(F.xxhash64("node"), F.col("tiles"))
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.struct(F.least(t, own).alias("s"), F.greatest(t, own).alias("t")))
-    spread = members.join(open_keys, "key").select("key", "node", "root", F.explode(F.array_distinct(meet)).alias("tile")).join(known, "node")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    shared = pinned(members.join(sizes.select("key", "n"), "key"))
+    # each pair of a small bucket is verified once, in however many buckets it meets
+    lists = shared.where(F.col("n") <= HOT).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("own"))
+    first = F.transform("own", lambda x, i: F.transform(F.filter(F.slice("own", i + 2, HOT), lambda y: y["root"] != x["root"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
+    pairs = lists.select(F.explode(F.flatten(first)).alias("p")).select("p.a", "p.b").distinct()
+    lines = [known.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")) for x in ("a", "b")]
+    both = pairs.join(lines[1], "b").join(lines[0], "a").select("a", "b", "line_a", "line_b")
+    links = both.mapInArrow(_verify, "a binary, b binary")
+    if shared.where(F.col("n") > HOT).isEmpty():
+        return links
+
+    tiles = F.ceil(F.col("n") / TILE)
+    own = F.pmod(F.xxhash64("node"), tiles)
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda t: F.struct(F.least(t, own).alias("s"), F.greatest(t, own).alias("t")))
+    spread = shared.where(F.col("n") > HOT).select("key", "node", "root", F.explode(F.array_distinct(meet)).alias("tile")).join(known, "node")
     groups = spread.select("key", "tile.s", "tile.t", "node", "root", "line").repartition(width, "key", "s", "t").sortWithinPartitions("key", "s", "t")
-    return groups.mapInArrow(_link_sorted, "a binary, b binary")
+    return links.unionByName(groups.mapInArrow(_link_sorted, "a binary, b binary"))
 
 
 def line_roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -294,7 +323,7 @@ def line_roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     first = components(_linked(members.where(band == 0).withColumn("root", F.col("node")), texts_of, width))
     found = first.withColumnRenamed("node", "n")
     rest = members.where(band > 0).join(found, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    edges = _linked(pinned(rest), texts_of, width)
+    edges = _linked(rest, texts_of, width)
     return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges))
 
 

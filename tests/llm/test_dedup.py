@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
+import siftwell.llm.graph as graph
 import siftwell.llm.lines as lines
 import siftwell.llm.simhash as simhash
 import siftwell.llm.suffixes as suffixes
@@ -38,7 +39,9 @@ def test_exact(docs):
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(5, 3), (3, 9), (9, 5)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(2 * i, 2 * i + 1) for i in range(9)] + [(None, 3)]])
-def test_components(spark, edges):
+@pytest.mark.parametrize("local", [300_000, 4])
+def test_components(spark, monkeypatch, edges, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     real = [(a, b) for a, b in edges if a is not None and a != b]
     roots = joined(60, real)
@@ -131,7 +134,8 @@ def test_lines(spark, monkeypatch):
     rows = [(3, "\n".join(base)), (1, "\n".join([*near, "short"])), (2, base[1] + "!\n" + base[0]), (None, base[0]), (7, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = slow_lines(rows)
-    for tile in (4000, 5):
+    for hot, tile in ((32, 4000), (2, 4000), (2, 5)):
+        monkeypatch.setattr(lines, "HOT", hot)
         monkeypatch.setattr(lines, "TILE", tile)
         found = lines.fuzzy_lines(docs).collect()
         assert {(r.doc_id, r.line_no): r.kept for r in found} == {at: kept for at, (kept, _) in want.items()}
