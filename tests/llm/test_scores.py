@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from siftwell.llm.lm_scoring import END, Mixer, decisions, lm_scores, words_of
+from siftwell.llm.lm_scoring import BYTE_LEAD, BYTE_TABLES, END, GATES, STEPS, TURN_LEAD, TURN_TABLES, Mixer, Tree, byte_decisions, lm_scores, words_of
 from siftwell.llm.quality import measures, quality_rules
 from siftwell.llm.toxicity import Lexicon, fit, toxicity, train
 
@@ -108,18 +108,68 @@ def test_base_scores(scored):
 
 
 def test_model_scores(scored):
+    """Better than the base made a distribution: all unknown words share its half count, and are spelt in 27 letters."""
     docs, rows = scored
-    held = [r for r in rows.values() if r.held_out]
-    per_token = sum(r.score for r in held) / sum(r.n_tokens for r in held)
-    assert all(r.score < 0 for r in held) and per_token > 1.15 * sum(r.base_score for r in held) / sum(r.n_tokens for r in held)
-    assert np.mean([r.bits_per_byte for r in held]) < 3
-
-
-def test_a_bit_model_is_a_distribution():
-    mixer = Mixer(np.random.default_rng(1).integers(0, 50, (6, 1 << 20, 2)).astype(np.uint16))
-    mixer.freeze(np.full_like(mixer.weights, 0.3), np.zeros_like(mixer.map))
-    ends = [b"ab" + bytes([c]) for c in range(256)]
-    prefix = mixer.log10([b"ab"])[0]
-    assert sum(10 ** (x - prefix) for x in mixer.log10(ends)) == pytest.approx(1, abs=1e-5)
-    slots, bits, word = decisions([b"ab", b"c"])
-    assert slots.shape == (6, 24) and "".join(map(str, bits.astype(int)))[:8] == f"{ord('a'):08b}" and word.tolist() == [0] * 16 + [1] * 8
+    known = Counter()
+    for d in docs:
+        if not rows[d.doc_id].held_out:
+            known.update(words_of(d.text))
+    held = [d for d in docs if rows[d.doc_id].held_out]
+    spelt = sum((len(w) + 1) * math.log10(27) for d in held for w in words_of(d.text) if not known[w])
+    score, base = (sum(getattr(rows[d.doc_id], c) for d in held) for c in ("score", "base_score"))
+    assert base - spelt < score < 0 and all(rows[d.doc_id].score < 0 for d in docs)
+    assert np.mean([rows[d.doc_id].bits_per_byte for d in held]) < 2.5
+
+
+def test_model_beats_the_base_on_more_text(spark):
+    rows = lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert rows["sum(score)"] > rows["sum(base_score)"]
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, two = ({r.doc_id: r.score for r in lm_scores(docs.repartition(n)).collect()} for n in (2, 7))
+    assert all(one[i] == pytest.approx(two[i], rel=1e-9) for i in one)
+
+
+def random_mixer(tables, lead, bits=14):
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 50, (tables, 1 << bits, 2)).astype(np.uint16)
+    return Mixer(counts, lead, rng.normal(0.3, 0.1, GATES * tables * GATES), rng.integers(0, 9, (STEPS * 8, 2)))
+
+
+def spell(mixer, words):
+    out = np.zeros(len(words))
+    for d in byte_decisions(words, 14):
+        out[d.owner] += mixer.logs(d)
+    return out / math.log(10)
+
+
+def test_bytes_are_a_distribution():
+    mixer = random_mixer(BYTE_TABLES, BYTE_LEAD)
+    prefix = spell(mixer, [b"ab"])[0]
+    assert sum(10 ** (x - prefix) for x in spell(mixer, [b"ab" + bytes([c]) for c in range(256)])) == pytest.approx(1, abs=1e-4)
+    d = next(byte_decisions([b"ab", b"c"], 14))
+    assert len(d.slots) == BYTE_TABLES and "".join(map(str, d.bits.astype(int)))[:8] == f"{ord('a'):08b}" and d.first.tolist() == [0, 16] and d.owner.tolist() == [0, 1]
+
+
+def test_turns_are_a_distribution():
+    """In any context the leaves, escape and end mark among them, have probabilities that sum to one."""
+    counts = {b"w%d" % i: 1 + 100 // (i + 1) for i in range(50)} | {END: 9}
+    tree, mixer = Tree(counts, 1000), random_mixer(TURN_TABLES, TURN_LEAD)
+    ids, endings, first, unlisted = tree.ids_of(["w1 w3 unheard w2 w1"])
+    assert unlisted == [b"unheard"] and len(ids) == 6 and ids[2] == tree.escape
+    contexts = tree.contexts(ids, endings, first)
+    for place in range(len(ids)):
+        leaves = np.arange(len(tree.sizes))
+        logs = np.concatenate([mixer.logs(d) for d in tree.turns([np.repeat(c[place : place + 1], len(leaves)) for c in contexts], leaves, 14)])
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_contexts_reach_back_in_their_text_only():
+    tree = Tree({b"a": 9, b"b": 8, b"c": 7, END: 5}, 40)
+    whole = tree.contexts(*tree.ids_of(["a b c a", "c b"])[:3])
+    alone = tree.contexts(*tree.ids_of(["c b"])[:3])
+    assert all((x[5:] == y).all() for x, y in zip(whole, alone, strict=True))
+    other = tree.contexts(*tree.ids_of(["b b c a"])[:3])
+    assert all(len({int(x[2]), int(y[2])}) == 2 for x, y in zip(whole[2:4], other[2:4], strict=True))  # two words back
