@@ -54,14 +54,18 @@ def buckets(name: str, source: str, key: str, text: str) -> str:
     )
 
 
-OFFSETS = r""", piece AS (SELECT file_id, unnest(regexp_extract_all(text, '[ \t\n\r\f]+|[^ \t\n\r\f]+')) AS p, unnest(range(0, len(regexp_extract_all(text, '[ \t\n\r\f]+|[^ \t\n\r\f]+')))) AS i FROM files),
+def offsets(files: str) -> str:
+    """CTE ``tok`` of the tokens of ``files`` with their places."""
+    return rf""", piece AS (SELECT file_id, unnest(regexp_extract_all(text, '[ \t\n\r\f]+|[^ \t\n\r\f]+')) AS p, unnest(range(0, len(regexp_extract_all(text, '[ \t\n\r\f]+|[^ \t\n\r\f]+')))) AS i FROM {files}),
 placed AS (SELECT file_id, p, i, sum(length(p)) OVER (PARTITION BY file_id ORDER BY i) AS e FROM piece),
 tok AS (SELECT file_id, p AS token, CAST(row_number() OVER (PARTITION BY file_id ORDER BY i) - 1 AS INTEGER) AS pos, CAST(e - length(p) AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM placed WHERE regexp_matches(p, '[^ \t\n\r\f]'))"""
 
+
+OFFSETS = offsets("files")
+
 SCORED = (
     "WITH "
     + CHUNKS
-    + OFFSETS
     + ", "
     + buckets("cb", "chunks", "label", "chunk_text")
     + f", q AS (SELECT '{TEXT}' AS text), "
@@ -69,9 +73,12 @@ SCORED = (
     + """, norms AS (SELECT label, sqrt(sum(n * n)) AS nx FROM cb GROUP BY label), dots AS (SELECT label, sum(cb.n * qb.n) AS d FROM cb JOIN qb USING (b) GROUP BY label),
 scored AS (SELECT c.label, round(coalesce(d / nullif(nx * (SELECT sqrt(sum(n * n)) FROM qb), 0), 0), 6) AS score FROM chunks c LEFT JOIN norms USING (label) LEFT JOIN dots USING (label)),
 """
-    + f"""hits AS (SELECT * FROM scored ORDER BY score DESC, label LIMIT {K}),
-found AS (SELECT h.label, h.score, c.file_path, c.chunk_text, a.s AS start_char_offset, z.e AS end_char_offset FROM hits h JOIN chunks c USING (label)
-  JOIN tok a ON a.file_id = c.file_id AND a.pos = 108 * c.chunk_no JOIN tok z ON z.file_id = c.file_id AND z.pos = 108 * c.chunk_no + c.token_count - 1)
+    + f"""hits AS MATERIALIZED (SELECT c.*, h.score FROM (SELECT * FROM scored ORDER BY score DESC, label LIMIT {K}) h JOIN chunks c USING (label)),
+hit_files AS MATERIALIZED (SELECT file_id, text FROM files WHERE file_id IN (SELECT file_id FROM hits))"""
+    + offsets("hit_files")
+    + """,
+found AS (SELECT h.label, h.score, h.file_path, h.chunk_text, a.s AS start_char_offset, z.e AS end_char_offset FROM hits h
+  JOIN tok a ON a.file_id = h.file_id AND a.pos = 108 * h.chunk_no JOIN tok z ON z.file_id = h.file_id AND z.pos = 108 * h.chunk_no + h.token_count - 1)
 """
 )
 LIKE_PATHS = "(" + " OR ".join(f"file_path LIKE '{p.replace('*', '%')}'" for p in PATHS) + ")"
@@ -209,8 +216,8 @@ def token_offsets(spark, sf):
     return chunked(_files(spark, sf), WordChunker(1, 0)).select("file_id", F.col("chunk_no").alias("pos"), F.col("chunk_text").alias("token"), "start_char_offset", "end_char_offset")
 
 
-@query(f"""WITH {CHUNKS}{OFFSETS} SELECT c.file_id, c.chunk_no, c.token_count, a.s AS start_char_offset, z.e AS end_char_offset FROM chunks c
- JOIN tok a ON a.file_id = c.file_id AND a.pos = 108 * c.chunk_no JOIN tok z ON z.file_id = c.file_id AND z.pos = 108 * c.chunk_no + c.token_count - 1""")
+@query(f"""WITH {CHUNKS}{OFFSETS}, places AS (SELECT file_id, list(s ORDER BY pos) AS s, list(e ORDER BY pos) AS e FROM tok GROUP BY file_id)
+ SELECT file_id, chunk_no, token_count, s[108 * chunk_no + 1] AS start_char_offset, e[108 * chunk_no + token_count] AS end_char_offset FROM chunks JOIN places USING (file_id)""")
 def chunk_windows(spark, sf):
     return _plain_chunks(spark, sf).select("file_id", "chunk_no", "token_count", "start_char_offset", "end_char_offset")
 
