@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from siftwell.llm.common import pinned, prepare, text_of
 from siftwell.llm.graph import components
@@ -32,6 +33,7 @@ SWEEP, HELD = 1 << 16, 1 << 20
 #: Bits of the filter that says which lines may be candidates: at least 16 a candidate, and at most 2**MOST_BITS.
 MOST_BITS = 29
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors: multiplied by one, hashes of 32 bits are another permutation.
 _SEEDS = np.array([pow(0x9E3779B1, i + 1, 1 << 32) | 1 for i in range(BANDS * ROWS)], np.uint32)
 _SPACE = " \t\n\x0b\x0c\r"
 _entry = np.dtype([("key", "<i8"), ("h", "<i8")])
@@ -42,6 +44,23 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def _different(lines: list[str]) -> np.ndarray:
+    """Distinct ``number of the line << 48 | hash of a shingle``, in order."""
+    h, n = _hashed(lines)
+    keys = (np.repeat(np.arange(len(lines), dtype=np.uint64), n) << np.uint64(48)) | (h >> np.uint64(16))
+    keys.sort()
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def similarities(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of each of ``a`` and of ``b``, at most 2**16 of them."""
+    one, two = _different(a), _different(b)
+    both = np.concatenate([one, two])
+    both.sort(kind="stable")
+    n = [np.bincount((x >> np.uint64(48)).astype(np.int64), minlength=len(a)) for x in (one, two, both[1:][both[1:] == both[:-1]])]
+    return n[2] / (n[0] + n[1] - n[2])
+
+
 def bands(lines: list[str]) -> np.ndarray:
     """Keys (lines, BANDS) of the MinHash signatures of all ``lines``, none of them empty."""
     parts, at, size = [], 0, 0
@@ -54,34 +73,37 @@ def bands(lines: list[str]) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _bands(lines: list[str]) -> np.ndarray:
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all ``lines``, repeated ones too, one line behind the other, and how many each line has."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
-    first = np.cumsum(sizes) - sizes
-    h = np.zeros(len(points), np.uint64)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters to the end of the line
     padded = np.concatenate([points.astype(np.uint64) + np.uint64(1), np.zeros(SHINGLE, np.uint64)])
-    left = np.repeat(first + sizes, sizes) - np.arange(len(points))  # characters to the end of the line
-    with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
-            h = (h ^ (h >> np.uint64(29))) * _MULTIPLY + np.where(left > k, padded[k : k + len(points)], np.uint64(0))
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        small = (h >> np.uint64(32)).astype(np.uint32)
-        # a shingle lies in its line; a line shorter than one is one shingle
-        small = small[(left >= SHINGLE) | (np.arange(len(points)) == np.repeat(first, sizes))]
-        n = np.maximum(sizes - SHINGLE + 1, 1)
-        first = np.cumsum(n) - n
-        keys = np.zeros((BANDS, len(lines)), np.uint64)
-        mixed, shifted = np.empty_like(small), np.empty_like(small)
-        for i, seed in enumerate(_SEEDS):
-            np.multiply(small, seed, out=mixed)
-            np.right_shift(mixed, np.uint32(15), out=shifted)
-            np.bitwise_xor(mixed, shifted, out=mixed)
-            low = np.minimum.reduceat(mixed, first).astype(np.uint64)
-            band = i // ROWS
-            keys[band] = (keys[band] ^ (keys[band] >> np.uint64(31))) * _MULTIPLY + low + np.uint64(1)
-        keys = (keys ^ (keys >> np.uint64(29))) * _MULTIPLY
-        keys = keys >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)
-        return (keys + np.arange(BANDS, dtype=np.uint64)[:, None]).T.copy().view(np.int64)
+    h = np.zeros(len(points), np.uint64)
+    for k in range(SHINGLE):
+        h ^= h >> np.uint64(29)
+        h *= _MULTIPLY
+        h += padded[k : k + len(points)] * (left > k)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    # a shingle lies in its line; a line shorter than one is one shingle
+    whole = (left >= SHINGLE) | (left == np.repeat(sizes, sizes))
+    return h[whole], np.maximum(sizes - SHINGLE + 1, 1)
+
+
+def _bands(lines: list[str]) -> np.ndarray:
+    h, n = _hashed(lines)
+    small, first = (h >> np.uint64(32)).astype(np.uint32), np.cumsum(n) - n
+    keys, mixed = np.zeros((BANDS, len(lines)), np.uint64), np.empty_like(small)
+    for i, seed in enumerate(_SEEDS):
+        np.multiply(small, seed, out=mixed)
+        low = np.minimum.reduceat(mixed, first).astype(np.uint64)
+        band = i // ROWS
+        keys[band] = (keys[band] ^ (keys[band] >> np.uint64(31))) * _MULTIPLY + low + np.uint64(1)
+    keys = (keys ^ (keys >> np.uint64(29))) * _MULTIPLY
+    keys = keys >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)
+    return (keys + np.arange(BANDS, dtype=np.uint64)[:, None]).T.copy().view(np.int64)
 
 
 def _with_words(text: str) -> list[str]:
@@ -90,8 +112,6 @@ def _with_words(text: str) -> list[str]:
 
 def _hash(line: str) -> int:
     """Spark's ``xxhash64`` of a string, unsigned."""
-    from xxhash import xxh64_intdigest
-
     return xxh64_intdigest(line.encode(), 42)
 
 
@@ -220,16 +240,11 @@ def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``a, b, line_a, line_b``, best sorted by a, to the pairs that are similar."""
-    before, own = None, set()
+    """Rows ``a, b, line_a, line_b`` to the pairs that are similar."""
     for batch in batches:
-        found = []
-        for a, b, line_a, line_b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if a != before:
-                before, own = a, shingles(line_a)
-            if similar(own, shingles(line_b)):
-                found.append((a, b))
-        yield _edges(found)
+        for at in range(0, batch.num_rows, 256):
+            a, b, line_a, line_b = [c.to_pylist() for c in batch.slice(at, 256).columns]
+            yield _edges([(a[i], b[i]) for i in np.flatnonzero(similarities(line_a, line_b) >= LEAST).tolist()])
 
 
 def _line_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -205,3 +205,11 @@ def test_shared_keys_pass_in_any_cut(monkeypatch):
         batch = pa.RecordBatch.from_pydict({"bucket": [0] * 40, "entries": [entries[i : i + 100].tobytes() for i in range(0, 4000, 100)]})
         got = {(k, h) for out in lines._shared([batch]) for k, h in zip(out["key"].to_pylist(), out["h"].to_pylist(), strict=True)}
         assert got == {(k, h) for k, h in want if k in several}
+
+
+def test_similarities_are_exact():
+    rng = np.random.default_rng(8)
+    some = ["", "ab", "abcdefghij" * 9, "é漢" * 40] + ["".join(rng.choice(list("abc "), n)) for n in (4, 5, 6, 30, 300, 3000)]
+    pairs = [(x or "x", y or "x") for x in some for y in some] + [(x, x[:-2] + "zz") for x in some[2:]]
+    want = [len(lines.shingles(x) & lines.shingles(y)) / len(lines.shingles(x) | lines.shingles(y)) for x, y in pairs]
+    assert lines.similarities([x for x, _ in pairs], [y for _, y in pairs]) == pytest.approx(want)
