@@ -9,9 +9,10 @@ there occur once are dropped. What is left falls into runs that share those word
 run are sorted by the words that follow and by those that precede, and what neighbours have in
 common extends each to the right and to the left: two windows are equal where both extensions reach.
 
-A run of more than ``RUN`` suffixes is split further, by the words that ``FINER`` windows share and then
-down to the windows themselves, so that no task holds more than some ``RUN`` suffixes of bounded size,
-however often a passage occurs.
+A run of more than ``RUN`` suffixes is split by the words that ``FINER`` windows share. Suffixes that agree
+in all words of those windows are repeats of the first of them, which alone goes on into a run; should
+that still be too long it is split down to single windows. So no task holds more than some ``RUN``
+suffixes of bounded size, however often a passage occurs.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def match_runs(key: np.ndarray, order: np.ndarray, k: np.ndarray, at: np.ndarray
 
     ``k`` names the text. ``words`` holds the words of each suffix from ``high`` before its position to the end of its last
     window. ``kept`` is true for all that repeats and false again for what an earlier copy makes
-    superfluous.
+    superfluous; null stands for both.
     """
     by = np.lexsort((at, k, order, key))  # of equal windows the earliest comes first
     by = by[np.concatenate([[True], (key[by[1:]] != key[by[:-1]]) | (k[by[1:]] != k[by[:-1]]) | (at[by[1:]] != at[by[:-1]])])]
@@ -229,27 +230,37 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every FINER of the windows of each suffix, under the hash of the words that they share."""
-    from xxhash import xxh3_64_intdigest
+    """As :func:`_around`, but a row for every FINER windows of each suffix, under the hash of the words that they share; with a digest of all their words."""
+    from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-    for k, _, words, _, place in _each_text(batches):
-        keys, places = [], []
+    for k, order, words, _, place in _each_text(batches):
+        keys, places, held, extents = [], [], [], []
         for p, a, b in zip(*[x.tolist() for x in _unpacked(place)], strict=True):
             for least in range(a - a % FINER, b + 1, FINER):
-                shared = b" ".join(words[p - least : p - least - FINER + 1 + LEAST])
-                keys.append(xxh3_64_intdigest(shared, least))
-                places.append((p << 16) | (max(a, least) << 8) | min(b, least + FINER - 1))
-        yield _rows(["k", "key", "place"], [k] * len(keys), np.array(keys, np.uint64).view(np.int64), np.array(places, np.int64))
+                low, high = max(a, least), min(b, least + FINER - 1)
+                keys.append(xxh3_64_intdigest(b" ".join(words[p - least : p - least - FINER + 1 + LEAST]), least))
+                places.append((p << 16) | (low << 8) | high)
+                held.append(b" ".join(words[p - high : p - low + LEAST]))
+                extents.append(xxh3_128_digest(held[-1], (low << 8) | high))
+        n = len(keys)
+        yield _rows(["key", "ord", "k", "place", "words", "extent"], np.array(keys, np.uint64).view(np.int64), np.full(n, order), [k] * n, np.array(places, np.int64), held, extents)
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of each suffix, under the 128-bit digest of its words."""
+    """Rows ``ord, k, place, words`` to a row for each of their windows, with the digest of its words."""
     from xxhash import xxh3_128_digest
 
-    for k, order, words, _, place in _each_text(batches):
-        first = [s for p, a, b in zip(*[x.tolist() for x in _unpacked(place)], strict=True) for s in range(p - b, p - a + 1)]
-        keys = [xxh3_128_digest(b" ".join(words[s : s + LEAST])) for s in first]
-        yield _rows(["key", "ord", "k", "first"], keys, np.full(len(keys), order), [k] * len(keys), np.array(first, np.int64))
+    for batch in batches:
+        at, low, high = _unpacked(batch.column(2).to_numpy())
+        rows, places, extents = [], [], []
+        for i, (p, a, b, held) in enumerate(zip(at.tolist(), low.tolist(), high.tolist(), batch.column(3).to_pylist(), strict=True)):
+            words = held.split(b" ")
+            for before in range(a, b + 1):
+                rows.append(i)
+                places.append((p << 16) | (before << 8) | before)
+                extents.append(xxh3_128_digest(b" ".join(words[b - before : b - before + LEAST])))
+        taken = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(places, pa.int64()), pa.array(extents, pa.binary())], names=["ord", "k", "place", "extent"])
 
 
 def _match_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,23 +293,28 @@ def _match_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done(pa.Table.from_batches(held))
 
 
-def _match_windows(windows: DataFrame) -> DataFrame:
-    """As :func:`match_runs`, for the windows of runs too long for one task: copies are counted before they are joined.
+def _extents(rows: DataFrame) -> DataFrame:
+    """Of each ``extent`` of ``rows`` the first place and how many there are."""
+    return rows.groupBy("extent").agg(F.min(F.struct("ord", "k", "place")).alias("best"), F.count(F.lit(1)).alias("n"))
+
 
-    Keys of more than a thousandth of the rows, at most a thousand of them, are joined by broadcast.
+def _with_first(rows: DataFrame, extents: DataFrame) -> DataFrame:
+    """``rows (ord, k, place, extent)`` with ``n``, how many share the extent, and ``one``: whether it is the first of them or overlaps it in its own text.
+
+    Extents with more than a thousandth of the rows, at most a thousand of them, are joined by broadcast.
     """
-    place = F.struct("ord", "k", "first")
-    best = windows.groupBy("key").agg(F.min(place).alias("best"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
-    best = pinned(best.where("best != last").drop("last"))
-    often = max(1, windows.count() // 1000)
-    hot = F.broadcast(best.where(F.col("n") > often).drop("n"))
-    marked = windows.join(hot, "key", "left")
-    rest = marked.where("best is null").drop("best").join(best.where(F.col("n") <= often).drop("n"), "key")
-    both = marked.where("best is not null").unionByName(rest)
-    own = (F.col("k") == F.col("best.k")) & (F.col("first") - F.col("best.first") < LEAST)
-    end = (F.col("first") + LEAST).alias("end")
-    # one row says both: a window that repeats, and whether an earlier copy makes it superfluous
-    return both.select("k", "first", end, F.explode(F.when(own, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))).alias("kept"))
+    often, known = max(1, rows.count() // 1000), extents.select("extent", "best", "n")
+    marked = rows.join(F.broadcast(known.where(F.col("n") > often)), "extent", "left")
+    rest = marked.where("best is null").drop("best", "n").join(known.where(F.col("n") <= often), "extent")
+    one = (F.col("k") == F.col("best.k")) & (F.shiftright("place", 16) - F.shiftright("best.place", 16) < LEAST)
+    return marked.where("best is not null").unionByName(rest).withColumn("one", one).drop("best")
+
+
+def _copies(marked: DataFrame) -> DataFrame:
+    """``k, first, end, kept`` of the rows of :func:`_with_first` whose extent occurs in several places."""
+    at = F.shiftright("place", 16)
+    low, high = F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
+    return marked.where("n > 1").select("k", (at - high).alias("first"), (at - low + LEAST).alias("end"), F.when(F.col("one"), F.lit(True)).alias("kept"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -317,8 +333,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ks, repeated, later = [], [], []
         for k, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ks.append(k)
-            for kept, out in ((True, repeated), (False, later)):
-                out.append([{"first": a, "end": b} for a, b in merged([s for s in spans if s["kept"] == kept])])
+            for other, out in ((False, repeated), (True, later)):
+                out.append([{"first": a, "end": b} for a, b in merged([s for s in spans if s["kept"] is not other])])
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(repeated, kind), pa.array(later, kind)], names=["k", "repeated", "later"])
 
 
@@ -345,13 +361,20 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = pinned(runs_of(suffixes.where("key is not null")))
     few = in_texts(found.where(F.col("n") <= RUN)).mapInArrow(_around, "key long, ord long, k binary, place long, words binary")
+    hot = None
     if not found.where(F.col("n") > RUN).isEmpty():
-        found = pinned(runs_of(in_texts(found.where(F.col("n") > RUN)).mapInArrow(_finer, "k binary, key long, place long")))
-        few = few.unionByName(in_texts(found.where(F.col("n") <= RUN)).mapInArrow(_around, "key long, ord long, k binary, place long, words binary"))
+        # of equal extents one goes on, with those that overlap it; they are compared with what shares a part of it
+        parts = pinned(in_texts(found.where(F.col("n") > RUN)).mapInArrow(_finer, "key long, ord long, k binary, place long, words binary, extent binary"))
+        marked = pinned(_with_first(parts, pinned(_extents(parts))))
+        hot = _copies(marked)
+        ones = marked.where("one").select("key", "ord", "k", "place", "words")
+        ones = pinned(ones.join(ones.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
+        few = few.unionByName(ones.where(F.col("n") <= RUN).drop("n"))
+        if not ones.where(F.col("n") > RUN).isEmpty():
+            windows = pinned(ones.where(F.col("n") > RUN).select("ord", "k", "place", "words").mapInArrow(_single_windows, "ord long, k binary, place long, extent binary"))
+            hot = hot.unionByName(_copies(_with_first(windows, pinned(_extents(windows)))))
     spans = few.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_match_sorted, "k binary, first long, end long, kept boolean")
-    if not found.where(F.col("n") > RUN).isEmpty():
-        windows = in_texts(found.where(F.col("n") > RUN)).mapInArrow(_single_windows, "key binary, ord long, k binary, first long")
-        spans = spans.unionByName(_match_windows(pinned(windows.distinct())))
+    spans = spans if hot is None else spans.unionByName(hot)
     lists = spans.groupBy("k").agg(F.collect_set(F.struct("first", "end", "kept")).alias("spans"))
     span = "array<struct<first:bigint,end:bigint>>"
     merged_spans = lists.mapInArrow(_merge, f"k binary, repeated {span}, later {span}")
