@@ -1,8 +1,9 @@
 """Quality rules whose thresholds adapt to each language and source.
 
 Every document gets a few ratios. Mergeable quantile sketches (KLL) of those ratios per language and
-source give robust fences around what is usual there; the fences, a table of one row per group, are
-joined back and decide. Fixed cutoffs remain only for what no corpus would call usual text.
+source say what is usual there: the median, and how far a high quantile lies from it. Small groups lean
+on the merged sketch of all documents. The fences that follow, a table of one row per group, are joined
+back and decide. Fixed cutoffs remain only for what no corpus would call usual text.
 """
 
 from __future__ import annotations
@@ -15,12 +16,18 @@ from siftwell.llm.common import WORD_SPLIT, pinned, prepare, text_of
 SPACE = " \t\n\x0b\x0c\r"
 #: Items a sketch keeps; below that many rows in a group its quantiles are exact.
 SKETCH_K = 4096
-#: A group with fewer documents takes the fences of all documents.
-LEAST_ROWS = 30
-#: Fences lie so many interquartile ranges outside the quartiles.
+#: So many documents of the whole corpus count beside a group's own.
+PRIOR = 200
+#: Fences lie so many times as far from the median as the high quantile does.
 REACH = 4.0
-#: Ratio -> (least interquartile range, whether low values are also refused).
-RATIOS = {"chars_per_word": (1.0, True), "symbols_per_word": (0.05, False), "dup_line_share": (0.1, False), "repeat_share": (0.1, False)}
+#: Ratio -> (high quantile, what it counts by, whether low values are also refused). Documents that are rarely zero in
+#: a ratio need no higher one than 0.9; lines and words repeat in few sound documents.
+RATIOS = {
+    "chars_per_word": (0.9, "n_words", True),
+    "symbols_per_word": (0.9, "n_words", False),
+    "dup_line_share": (0.98, "n_lines", False),
+    "repeat_share": (0.95, "n_words", False),
+}
 #: Up to so many different repeated windows a text is scanned for each; with more its windows are sorted.
 FEW = 24
 #: Group tables up to this many rows are broadcast; larger ones are joined with salted keys.
@@ -93,24 +100,34 @@ def _ratio(name: str) -> Column:
 
 
 def fences(measured: DataFrame) -> DataFrame:
-    """Fences per language and source, from sketches of the documents that pass the fixed rules."""
-    usual = measured.where(~F.col("base_failed")).select("lang", "source", *[_ratio(r).alias(r) for r in RATIOS])
-    own = usual.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r, SKETCH_K).alias(r) for r in RATIOS])
+    """Fences per language and source, from sketches of the documents that pass the fixed rules.
+
+    A fence lies at the median and ``REACH`` times the distance to the high quantile, but at least
+    ``REACH`` times what one word or line more makes in a document of median size. All quantiles are
+    means of the group's and the corpus's, weighed by the group's documents and ``PRIOR``.
+    """
+    columns = [*RATIOS, "n_words", "n_lines"]
+    usual = measured.where(~F.col("base_failed")).select(
+        "lang", "source", *[_ratio(r).alias(r) for r in RATIOS], *[F.col(c).cast("double").alias(c) for c in ("n_words", "n_lines")]
+    )
+    own = usual.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(c, SKETCH_K).alias(c) for c in columns])
     own = pinned(own)
-    every = own.agg(*[F.kll_merge_agg_double(r, SKETCH_K).alias(f"all_{r}") for r in RATIOS])
-    both = own.crossJoin(F.broadcast(every))
+    every = own.agg(*[F.kll_merge_agg_double(c, SKETCH_K).alias(f"all_{c}") for c in columns])
+    both = own.crossJoin(F.broadcast(every))  # one row
 
-    def quartile(r: str, q: float) -> Column:
-        sketch = F.when(F.col("n") >= LEAST_ROWS, F.col(r)).otherwise(F.col(f"all_{r}"))
-        return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
+    def quantile(c: str, q: float) -> Column:
+        mine, alls = (F.kll_sketch_get_quantile_double(x, F.lit(q)) for x in (c, f"all_{c}"))
+        return (F.col("n") * mine + PRIOR * alls) / (F.col("n") + PRIOR)
 
-    quartiles = both.select("lang", "source", *[quartile(r, q).alias(f"{r}_{i}") for r in RATIOS for i, q in ((1, 0.25), (3, 0.75))])
+    wanted = {(c, 0.5) for c in columns} | {(r, q) for r, (q, _, _) in RATIOS.items()} | {(r, 1 - q) for r, (q, _, low) in RATIOS.items() if low}
+    name = {(c, q): f"{c}_{round(100 * q)}" for c, q in wanted}
+    found = both.select("lang", "source", *[quantile(c, q).alias(n) for (c, q), n in sorted(name.items())])
     limits = []
-    for r, (least, two_sided) in RATIOS.items():
-        q1, q3 = F.col(f"{r}_1"), F.col(f"{r}_3")
-        reach = REACH * F.greatest(q3 - q1, F.lit(least))
-        limits += [(q3 + reach).alias(f"{r}_max"), (q1 - reach if two_sided else F.lit(float("-inf"))).alias(f"{r}_min")]
-    return quartiles.select("lang", "source", *limits)
+    for r, (high, unit, two_sided) in RATIOS.items():
+        middle, step = F.col(name[r, 0.5]), 1 / F.col(name[unit, 0.5])
+        limits.append((middle + REACH * F.greatest(F.col(name[r, high]) - middle, step)).alias(f"{r}_max"))
+        limits.append((middle - REACH * F.greatest(middle - F.col(name[r, 1 - high]), step) if two_sided else F.lit(float("-inf"))).alias(f"{r}_min"))
+    return found.select("lang", "source", *limits)
 
 
 def _with_fences(measured: DataFrame, table: DataFrame) -> DataFrame:
@@ -129,7 +146,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``.
 
     A null text has no words and fails the fixed rules; null languages and sources form groups of
-    their own; a group with no usable document, or a small one, takes the fences of all documents.
+    their own; a small group leans on all documents; one with no usable document has none to judge.
     Repeated rows are judged alike and each returned; an empty table gives an empty result; other
     columns are not looked at.
     """

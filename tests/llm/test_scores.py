@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from siftwell.llm.common import pinned
 from siftwell.llm.lm_scoring import BYTE_LEAD, BYTE_TABLES, END, GATES, STEPS, TURN_LEAD, TURN_TABLES, Mixer, Tree, byte_decisions, lm_scores, words_of
 from siftwell.llm.quality import measures, quality_rules
 from siftwell.llm.toxicity import Lexicon, fit, toxicity, train
@@ -39,6 +40,42 @@ def test_rules_keep_good_documents(spark):
     assert np.mean([r.kept for r in sound if r.quality == 1]) > 0.98 and np.mean([r.kept for r in sound if r.quality == 0]) < 0.1
 
 
+def slow_quantile(values, q):
+    """The least value whose share of values up to it reaches q."""
+    values = sorted(values)
+    return values[min(len(values) - 1, max(0, math.ceil(q * len(values) - 1e-9) - 1))]
+
+
+def test_fences_against_exact_quantiles(spark):
+    """Fences and verdicts of every group, with exact quantiles in place of sketches."""
+    import siftwell.llm.quality as quality
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    groups, rows = {}, {}
+    for d in docs:
+        words, chars, symbols, dups, repeats = slow_measures(d.text or "")
+        lines = len([x for x in (d.text or "").split("\n") if WORD.search(x)])
+        rows[d.doc_id] = (d.lang, d.source), words < 50 or 100 * repeats > 50 * words, {"chars_per_word": chars / max(words, 1), "symbols_per_word": symbols / max(words, 1), "dup_line_share": dups / max(lines, 1), "repeat_share": repeats / max(words, 1), "n_words": words, "n_lines": lines}
+        if not rows[d.doc_id][1]:
+            groups.setdefault((d.lang, d.source), []).append(rows[d.doc_id][2])
+    every = [x for g in groups.values() for x in g]
+    fences = {}
+    for g, own in groups.items():
+        q = lambda c, p, own=own: (len(own) * slow_quantile([x[c] for x in own], p) + quality.PRIOR * slow_quantile([x[c] for x in every], p)) / (len(own) + quality.PRIOR)
+        for r, (high, unit, two_sided) in quality.RATIOS.items():
+            middle, step = q(r, 0.5), 1 / q(unit, 0.5)
+            fences[g, r] = middle - quality.REACH * max(middle - q(r, 1 - high), step) if two_sided else -math.inf, middle + quality.REACH * max(q(r, high) - middle, step)
+    measured = pinned(measures(spark.read.parquet(f"{SF}/documents.parquet")))
+    failed = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+    for f in quality.fences(measured.selectExpr("*", f"{failed} as base_failed")).collect():
+        for r in quality.RATIOS:
+            assert (f[f"{r}_min"], f[f"{r}_max"]) == pytest.approx(fences[(f.lang, f.source), r], rel=0.02, abs=1e-3)
+    assert all(len({round(fences[g, r][1], 9) for g in groups}) > 5 for r in quality.RATIOS)  # every ratio adapts
+    got = {r.doc_id: r.kept for r in quality_rules(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    want = {i: not bad and all(fences[g, r][0] <= x[r] <= fences[g, r][1] for r in quality.RATIOS) for i, (g, bad, x) in rows.items()}
+    assert sum(got[i] != want[i] for i in want) <= 0.005 * len(want)  # sketches of all documents are not exact
+
+
 def test_salted_join_gives_the_same(docs, monkeypatch):
     import siftwell.llm.quality as quality
 
