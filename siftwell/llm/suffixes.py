@@ -9,10 +9,10 @@ there occur once are dropped. What is left falls into runs that share those word
 run are sorted by the words that follow and by those that precede, and what neighbours have in
 common extends each to the right and to the left: two windows are equal where both extensions reach.
 
-A run of more than ``RUN`` suffixes is split by the words that ``FINER`` windows share. Suffixes that agree
-in all words of those windows are repeats of the first of them, which alone goes on into a run; should
-that still be too long it is split down to single windows. So no task holds more than some ``RUN``
-suffixes of bounded size, however often a passage occurs.
+In a run of more than ``RUN`` suffixes, those that agree in all words of all their windows are repeats of
+the first of them, which alone goes on. A run that is still too long is split by the words that fewer
+windows share, at last down to single windows. So no task holds more than some ``RUN`` suffixes of
+bounded size, however often a passage occurs.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ LEAST, GRAM = 50, 8
 LEFT, HALF = LEAST - GRAM, (LEAST - GRAM) // 2
 #: Suffixes of a run, and of several runs together, that one task matches in memory.
 RUN = 8192
-#: Windows of a suffix that stay together when a longer run is split.
-FINER = 6
+#: Windows of a suffix that stay together when a longer run is split, step by step.
+PARTS = (HALF + 1, 6, 1)
 #: Bytes of a word that are carried along; a longer one is known by its SHA-256.
 LONG_WORD = 64
 _FACTOR = 0x9E3779B97F4A7C15
@@ -229,38 +229,29 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(["key", "ord", "k", "place", "words"], key, np.full(len(key), order), [k] * len(key), place, held)
 
 
-def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As :func:`_around`, but a row for every FINER windows of each suffix, under the hash of the words that they share; with a digest of all their words."""
-    from xxhash import xxh3_64_intdigest, xxh3_128_digest
+def _split(width: int):
+    """Rows ``ord, k, place, words`` to a row for every ``width`` windows of theirs, under the hash of the words that those share, with a digest of all their words."""
 
-    for k, order, words, _, place in _each_text(batches):
-        keys, places, held, extents = [], [], [], []
-        for p, a, b in zip(*[x.tolist() for x in _unpacked(place)], strict=True):
-            for least in range(a - a % FINER, b + 1, FINER):
-                low, high = max(a, least), min(b, least + FINER - 1)
-                keys.append(xxh3_64_intdigest(b" ".join(words[p - least : p - least - FINER + 1 + LEAST]), least))
-                places.append((p << 16) | (low << 8) | high)
-                held.append(b" ".join(words[p - high : p - low + LEAST]))
-                extents.append(xxh3_128_digest(held[-1], (low << 8) | high))
-        n = len(keys)
-        yield _rows(["key", "ord", "k", "place", "words", "extent"], np.array(keys, np.uint64).view(np.int64), np.full(n, order), [k] * n, np.array(places, np.int64), held, extents)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
+        for batch in batches:
+            at, low, high = _unpacked(batch.column(2).to_numpy())
+            rows, keys, places, held, extents = [], [], [], [], []
+            for i, (p, a, b, own) in enumerate(zip(at.tolist(), low.tolist(), high.tolist(), batch.column(3).to_pylist(), strict=True)):
+                words = own.split(b" ")
+                for least in range(a - a % width, b + 1, width):
+                    first, last = max(a, least), min(b, least + width - 1)
+                    rows.append(i)
+                    keys.append(xxh3_64_intdigest(b" ".join(words[b - least : b - least - width + 1 + LEAST]), least))
+                    places.append((p << 16) | (first << 8) | last)
+                    held.append(b" ".join(words[b - last : b - first + LEAST]))
+                    extents.append(xxh3_128_digest(held[-1], (first << 8) | last))
+            taken = pa.array(rows, pa.int64())
+            columns = [np.array(keys, np.uint64).view(np.int64), batch.column(0).take(taken), batch.column(1).take(taken), np.array(places, np.int64), held, extents]
+            yield _rows(["key", "ord", "k", "place", "words", "extent"], *columns)
 
-def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``ord, k, place, words`` to a row for each of their windows, with the digest of its words."""
-    from xxhash import xxh3_128_digest
-
-    for batch in batches:
-        at, low, high = _unpacked(batch.column(2).to_numpy())
-        rows, places, extents = [], [], []
-        for i, (p, a, b, held) in enumerate(zip(at.tolist(), low.tolist(), high.tolist(), batch.column(3).to_pylist(), strict=True)):
-            words = held.split(b" ")
-            for before in range(a, b + 1):
-                rows.append(i)
-                places.append((p << 16) | (before << 8) | before)
-                extents.append(xxh3_128_digest(b" ".join(words[b - before : b - before + LEAST])))
-        taken = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(places, pa.int64()), pa.array(extents, pa.binary())], names=["ord", "k", "place", "extent"])
+    return split
 
 
 def _match_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,21 +351,24 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = pinned(runs_of(suffixes.where("key is not null")))
-    few = in_texts(found.where(F.col("n") <= RUN)).mapInArrow(_around, "key long, ord long, k binary, place long, words binary")
-    hot = None
-    if not found.where(F.col("n") > RUN).isEmpty():
+    run = "key long, ord long, k binary, place long, words binary"
+    few = in_texts(found.where(F.col("n") <= RUN)).mapInArrow(_around, run)
+    long = in_texts(found.where(F.col("n") > RUN)).mapInArrow(_around, run) if not found.where(F.col("n") > RUN).isEmpty() else None
+    copies_in_long = None
+    for windows in PARTS:
+        if long is None:
+            break
         # of equal extents one goes on, with those that overlap it; they are compared with what shares a part of it
-        parts = pinned(in_texts(found.where(F.col("n") > RUN)).mapInArrow(_finer, "key long, ord long, k binary, place long, words binary, extent binary"))
+        parts = pinned(long.select("ord", "k", "place", "words").mapInArrow(_split(windows), f"{run}, extent binary"))
         marked = pinned(_with_first(parts, pinned(_extents(parts))))
-        hot = _copies(marked)
+        copies_in_long = _copies(marked) if copies_in_long is None else copies_in_long.unionByName(_copies(marked))
         ones = marked.where("one").select("key", "ord", "k", "place", "words")
         ones = pinned(ones.join(ones.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
-        few = few.unionByName(ones.where(F.col("n") <= RUN).drop("n"))
-        if not ones.where(F.col("n") > RUN).isEmpty():
-            windows = pinned(ones.where(F.col("n") > RUN).select("ord", "k", "place", "words").mapInArrow(_single_windows, "ord long, k binary, place long, extent binary"))
-            hot = hot.unionByName(_copies(_with_first(windows, pinned(_extents(windows)))))
+        if windows > 1:
+            few = few.unionByName(ones.where(F.col("n") <= RUN).drop("n"))
+        long = None if ones.where(F.col("n") > RUN).isEmpty() else ones.where(F.col("n") > RUN)
     spans = few.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_match_sorted, "k binary, first long, end long, kept boolean")
-    spans = spans if hot is None else spans.unionByName(hot)
+    spans = spans if copies_in_long is None else spans.unionByName(copies_in_long)
     lists = spans.groupBy("k").agg(F.collect_set(F.struct("first", "end", "kept")).alias("spans"))
     span = "array<struct<first:bigint,end:bigint>>"
     merged_spans = lists.mapInArrow(_merge, f"k binary, repeated {span}, later {span}")
