@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,8 +24,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: lineage ends there and a lost executor costs nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """``df`` written to the shared checkpoint folder: lineage ends there and a lost executor costs nothing.
+
+    Shuffle files of steps that were pinned before, and that nothing refers to any more, are given up
+    first; Spark would keep them until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

@@ -26,6 +26,8 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 18, 5
 #: The lowest bits of a key name its band.
 BAND_BITS = 5
+#: Bands are looked into in rounds, up to these: what one round has joined the next need not verify.
+ROUNDS = (1, 4, BANDS)
 #: Buckets of more lines are linked inside a task instead of pair by pair; past TILE lines, by pairs of tiles.
 HOT, TILE = 32, 4000
 #: Characters whose signatures are computed together, and band entries that are held at once.
@@ -303,7 +305,7 @@ def _linked(members: DataFrame, known: DataFrame, width: int) -> DataFrame:
     pairs = lists.select(F.explode(F.flatten(first)).alias("p")).select("p.a", "p.b").distinct()
     lines = [known.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")) for x in ("a", "b")]
     both = pairs.join(lines[1], "b").join(lines[0], "a").select("a", "b", "line_a", "line_b")
-    links = both.mapInArrow(_verify, "a binary, b binary")
+    links = pinned(both.mapInArrow(_verify, "a binary, b binary"))
     if shared.where(F.col("n") > HOT).isEmpty():
         return links
 
@@ -318,28 +320,39 @@ def _linked(members: DataFrame, known: DataFrame, width: int) -> DataFrame:
 def line_roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``node, root`` of every line that is similar to another, by digest.
 
-    The first band joins most of what belongs together; of the other bands only keys whose lines lie in
+    The first bands join most of what belongs together; of the other bands only keys whose lines lie in
     different components are looked into.
     """
     texts = docs.select(text_of(docs, text_col).alias("text"))
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = texts.mapInArrow(_packed_bands(4 * width), "bucket int, entries binary")
-    shared = packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key long, h long")
-    shared = pinned(shared.distinct())
+    # no step of this chain is named, so that its shuffle files can go once the result is pinned
+    shared = pinned(
+        texts.mapInArrow(_packed_bands(4 * width), "bucket int, entries binary")
+        .repartition(width, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_shared, "key long, h long")
+        .distinct()
+    )
     hashes = pinned(shared.select("h").distinct())
     bits = spark.sparkContext.broadcast(_filter_of(hashes))
-    lines = texts.mapInArrow(_candidate_lines(bits), "h long, node binary, line string")
-    known = pinned(lines.join(hashes, "h", "left_semi").groupBy("node").agg(F.first("h").alias("h"), F.first("line").alias("line")))
+    known = pinned(
+        texts.mapInArrow(_candidate_lines(bits), "h long, node binary, line string")
+        .groupBy("node")
+        .agg(F.first("h").alias("h"), F.first("line").alias("line"))
+        .join(hashes, "h", "left_semi")
+    )
 
     band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1))
     members = pinned(shared.join(known.select("h", "node"), "h").select("key", "node"))
     texts_of = known.select("node", "line")
-    first = components(_linked(members.where(band == 0).withColumn("root", F.col("node")), texts_of, width))
-    found = first.withColumnRenamed("node", "n")
-    rest = members.where(band > 0).join(found, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    edges = _linked(rest, texts_of, width)
-    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges))
+    roots = components(_linked(members.where(band == 0).withColumn("root", F.col("node")), texts_of, width))
+    for low, high in zip(ROUNDS[:-1], ROUNDS[1:], strict=True):
+        found = pinned(roots.withColumnRenamed("node", "n"))
+        own = members.where((band >= low) & (band < high)).join(found, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        edges = _linked(own, texts_of, width)
+        roots = components(found.select(F.col("n").alias("a"), F.col("root").alias("b")).unionByName(edges))
+    return roots
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
