@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftwell import schemas
 from siftwell.config import MARKER, Config, find_root, project_of, save_config, write_toml
 from siftwell.errors import ConfigError, MetadataError
-from siftwell.sources.snapshots import exists, replace_folder
+from siftwell.sources.snapshots import exists, new_folder
 
 
 class Project(NamedTuple):
@@ -48,7 +48,7 @@ class Catalog:
         self.spark, self.config = spark, config
         for name, schema in self.TABLES.items():
             if not exists(spark, self._at(name)):
-                replace_folder(spark.createDataFrame([], schema), self._at(name))
+                new_folder(spark.createDataFrame([], schema), self._at(name))
 
     def _at(self, name: str) -> str:
         return f"{self.config.catalog}/{name}"

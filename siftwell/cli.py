@@ -15,7 +15,7 @@ from siftwell.operators.outputs import OutputMode, render
 from siftwell.plans.engine import Engine
 from siftwell.session import build_session
 from siftwell.sources.files import gather
-from siftwell.sources.snapshots import exists
+from siftwell.sources.snapshots import Store
 
 
 def _share(value: str) -> float:
@@ -141,7 +141,7 @@ def run(args) -> str:
 
     project = _project(catalog, config, args.project)
     if args.command == "status":
-        if not exists(spark, f"{project.store_path}/CURRENT"):
+        if not Store.there(spark, project.store_path):
             return f"Project {project.name!r} has no index."
         files, chunks = engine.open(project.store_path).counts()
         return f"Project {project.name!r}: {files} files, {chunks} chunks."
@@ -151,7 +151,7 @@ def run(args) -> str:
     if not project.paths:
         return f"Project {project.name!r} has no paths; add one with 'project add-path'."
     warnings: list[str] = []
-    done = engine.index(engine.open(project.store_path), project.paths, args.pattern, args.rebuild, args.workers, warnings.append)
+    done = engine.index(engine.open(project.store_path, args.rebuild), project.paths, args.pattern, args.rebuild, args.workers, warnings.append)
     return "\n".join([*(f"Warning: {w}" for w in warnings), f"{done.processed} files processed, {done.chunks} chunks indexed, {done.errors} errors."])
 
 

@@ -27,13 +27,22 @@ def lookup(chunks: DataFrame, files: DataFrame, label: int) -> DataFrame:
     return chunk_details(chunks.where(F.col("label") == label), files)
 
 
-def results(hits: DataFrame, chunks: DataFrame, files: DataFrame, min_score: float = DEFAULT_MIN_SCORE, paths: list[str] | None = None, keyword: str | None = None) -> DataFrame:
+#: Hits up to this many rows are broadcast; more are joined.
+BROADCAST_HITS = 10_000
+
+
+def results(hits: DataFrame, chunks: DataFrame | None, files: DataFrame, min_score: float = DEFAULT_MIN_SCORE, paths: list[str] | None = None, keyword: str | None = None, k: int | None = None) -> DataFrame:
     """Results for ``hits (label, score)``, which are already the best k of all chunks.
 
-    Filters come after the best k are taken, so fewer rows may remain. ``hits`` is at most k rows and
-    is the side that is broadcast; text is read only for those.
+    Filters come after the best k are taken, so fewer rows may remain. Without ``chunks`` the hits
+    already hold the columns of theirs; otherwise text is read only for those labels.
     """
-    narrow = F.broadcast(hits)
-    details = chunk_details(chunks.join(F.broadcast(hits.select("label")), "label", "left_semi"), files, None, paths, keyword)
-    found = details.join(narrow, "label").where(F.col("score") >= min_score)
-    return found.select("label", "score", "file_path", "chunk_text", "start_char_offset", "end_char_offset").orderBy(F.desc("score"), "label")
+    small = (lambda df: F.broadcast(df)) if k is None or k <= BROADCAST_HITS else (lambda df: df)
+    if chunks is not None:
+        hits = chunks.join(small(hits), "label")
+    both = hits if "file_path" in hits.columns else files.select("file_id", "file_path").join(small(hits), "file_id")
+    both = both.where(F.col("score") >= min_score)
+    for test in (path_like(F.col("file_path"), paths), keyword_like(F.col("chunk_text"), keyword)):
+        if test is not None:
+            both = both.where(test)
+    return both.select("label", "score", "file_path", "chunk_text", "start_char_offset", "end_char_offset").orderBy(F.desc("score"), "label")

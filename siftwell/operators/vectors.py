@@ -36,7 +36,7 @@ def distance(a: Column, b: Column, metric: str) -> Column:
 
 
 def scores(vectors: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
-    """Scores (n, queries) of a batch, as :func:`similarity` of :func:`distance`, rounded to 6 places."""
+    """Scores (n, queries) of a batch, as :func:`similarity` of :func:`distance`, to 9 places, by which they are ranked."""
     v, q = vectors.astype(np.float64), query.astype(np.float64)
     if metric == "cos":
         norms = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
@@ -47,7 +47,7 @@ def scores(vectors: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
         d = np.maximum((v * v).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * v @ q.T, 0)
         found = 1 / (1 + d) if metric == "l2sq" else -d
     # halves are rounded away from zero, as the SQL function does
-    return np.sign(found) * np.floor(np.abs(found) * 1e6 + 0.5) / 1e6
+    return np.sign(found) * np.floor(np.abs(found) * 1e9 + 0.5) / 1e9
 
 
 def check_query(query, ndim: int | None, k: int) -> np.ndarray:
@@ -69,57 +69,86 @@ def _matrix(column: pa.Array, ndim: int) -> np.ndarray:
     return flat.reshape(-1, ndim)
 
 
-def nearest(vectors: DataFrame, query, k: int = 5, metric: str = "cos", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
-    """``label, score`` of the ``k`` best vectors, score descending, then label.
+def nearest(vectors: DataFrame, query, k: int = 5, metric: str = "cos", label_col: str = "label", vector_col: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``label, score`` and the ``keep`` columns of the ``k`` best vectors, score descending, then label.
 
-    Every batch is scored by one matrix product and hands on its own best ``k``, so what is sorted
-    is small however many vectors there are. Fewer vectors than ``k`` give them all.
+    Every batch is scored by one matrix product and every task hands on its own best ``k``, so what is
+    sorted is small however many vectors there are. Fewer vectors than ``k`` give them all. Ranks go by
+    scores to 9 places; 6 are returned.
     """
+    from pyspark.sql.types import StructType
+
     q = check_query(query, None, k)
+    narrow = vectors.select(F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("_vector"), *keep)
+    shape = StructType([narrow.schema["label"], *StructType.fromDDL("score double").fields, *[narrow.schema[c] for c in keep]])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def pruned(table: pa.Table) -> pa.Table:
+            return table.take(np.lexsort((table["label"].to_numpy(), -table["score"].to_numpy()))[:k])
+
         for batch in batches:
             if batch.num_rows:
                 found = scores(_matrix(batch.column(1), q.shape[1]), q, metric)[:, 0]
-                labels = batch.column(0).to_numpy(zero_copy_only=False)
-                at = np.lexsort((labels, -found))[:k]
-                yield pa.RecordBatch.from_pydict({"label": pa.array(labels[at], pa.int64()), "score": pa.array(found[at])})
+                own = pa.Table.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names=shape.names)
+                held = pruned(pa.concat_tables([t for t in (held, pruned(own)) if t is not None]))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
 
-    narrow = vectors.select(F.col(label_col).cast("long"), F.col(vector_col))
-    return narrow.mapInArrow(best, "label long, score double").orderBy(F.desc("score"), "label").limit(k)
+    ranked = narrow.mapInArrow(best, shape).orderBy(F.desc("score"), "label").limit(k)
+    return ranked.withColumn("score", F.round("score", 6))
 
 
-def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cos", label_col: str = "label", vector_col: str = "embedding", query_rows: int = 100_000) -> DataFrame:
+def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cos", label_col: str = "label", vector_col: str = "embedding", query_rows: int = 10_000) -> DataFrame:
     """``query_id, label, score, rank`` of the ``k`` best vectors for each row of ``queries (query_id, query)``.
 
-    The queries are a stated set that goes to every task in blocks; more than ``query_rows`` of them
-    are refused, as they would not fit. Each task keeps its best ``k`` a query before anything moves.
+    The queries are a stated set: they go to every task, in blocks of ``query_rows`` that are read from
+    the driver's side one after another, so that any number of them fits. Each task keeps its best ``k``
+    a query before anything moves. Ranks go by scores to 9 places; 6 are returned.
     """
-    rows = queries.select("query_id", "query").limit(query_rows + 1).collect()
-    if len(rows) > query_rows:
-        raise ValueError(f"at most {query_rows} queries at a time")
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    matrix = np.array([r["query"] for r in rows], np.float32).reshape(len(rows), -1)
+    narrow = vectors.select(F.col(label_col).cast("long"), F.col(vector_col))
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            labels = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(labels, kind="stable")
-            own = _matrix(batch.column(1), matrix.shape[1])[order]
-            for first in range(0, len(ids), 256):
-                found = scores(own, matrix[first : first + 256], metric)
-                at = np.argsort(-found, axis=0, kind="stable")[:k]
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array(np.tile(ids[first : first + 256], len(at))),
-                    "label": pa.array(labels[order][at].reshape(-1)),
-                    "score": pa.array(np.take_along_axis(found, at, axis=0).reshape(-1)),
-                })
-
-    found = vectors.select(F.col(label_col).cast("long"), F.col(vector_col)).mapInArrow(best, "query_id long, label long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "label"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    def of_block(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = np.full((0, len(ids)), -np.inf), np.zeros((0, len(ids)), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                labels = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                own = _matrix(batch.column(1), matrix.shape[1])
+                merged = []
+                for first in range(0, len(ids), 256):
+                    part = slice(first, first + 256)
+                    found = np.concatenate([top[0][:, part], scores(own, matrix[part], metric)])
+                    named = np.concatenate([top[1][:, part], np.repeat(labels[:, None], found.shape[1], axis=1)])
+                    by_label = np.argsort(named, axis=0, kind="stable")
+                    found, named = np.take_along_axis(found, by_label, 0), np.take_along_axis(named, by_label, 0)
+                    at = np.argsort(-found, axis=0, kind="stable")[:k]
+                    merged.append((np.take_along_axis(found, at, 0), np.take_along_axis(named, at, 0)))
+                top = tuple(np.concatenate([m[i] for m in merged], axis=1) for i in (0, 1))
+            if len(top[0]):
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.tile(ids, len(top[0]))), "label": pa.array(top[1].reshape(-1)), "score": pa.array(top[0].reshape(-1))})
+
+        found = narrow.mapInArrow(best, "query_id long, label long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "label"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
+
+    out, rows = None, []
+
+    def add(rows: list) -> None:
+        nonlocal out
+        block = of_block(np.array([r["query_id"] for r in rows], np.int64), np.array([r["query"] for r in rows], np.float32).reshape(len(rows), -1))
+        out = block if out is None else out.unionByName(block)
+
+    for row in queries.select("query_id", "query").toLocalIterator():
+        rows.append(row)
+        if len(rows) == query_rows:
+            add(rows)
+            rows = []
+    if rows or out is None:
+        add(rows)
+    return out
 
 
 def nearest_by_lsh(spark: SparkSession, vectors: DataFrame, query, k: int = 5, tables: int = 16, width: float = 0.8, label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
@@ -180,18 +209,18 @@ class ExactIndex:
         return nearest(self.vectors, check_query(query, self.ndim, k)[0], k, self.metric)
 
     def save(self, path: str) -> None:
-        """Written beside ``path`` and moved there whole."""
-        from siftwell.sources.snapshots import replace_folder
+        """The index becomes the current table of the folder ``path``; readers see the one before or this one."""
+        from siftwell.sources.snapshots import save_table
 
-        replace_folder(self.vectors, path)
+        save_table(self.vectors, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, ndim: int, metric: str = "cos") -> ExactIndex:
-        from siftwell.sources.snapshots import exists
+        from siftwell.sources.snapshots import exists, load_table
 
         if not exists(spark, path):
             raise FileNotFoundError(path)
         try:
-            return cls(spark.read.parquet(path), ndim, metric)
+            return cls(load_table(spark, path), ndim, metric)
         except Exception as e:
             raise VectorStoreError(f"{path} holds no vectors: {e}") from e

@@ -18,8 +18,9 @@ from siftwell.functions.patterns import ignored_column, keyword_like, names_matc
 from siftwell.functions.text import html_text, is_blank, is_blank_chunk, project_name, tokens
 from siftwell.operators.chunking import chunked, labelled, next_label, window_starts
 from siftwell.operators.outputs import counts, json_lines, paths, show_lines
-from siftwell.operators.searching import chunk_details, lookup, results
+from siftwell.operators.searching import chunk_details, lookup
 from siftwell.operators.vectors import distance, nearest, nearest_by_lsh, nearest_of_many, similarity
+from siftwell.plans.engine import Engine
 from siftwell.plans.sync import classified, removed_labels, totals
 from siftwell.session import share_code
 from siftwell.sources.files import documents_as_files
@@ -71,9 +72,9 @@ SCORED = (
     + f", q AS (SELECT '{TEXT}' AS text), "
     + buckets("qb", "q", "1 AS one", "text")
     + """, norms AS (SELECT label, sqrt(sum(n * n)) AS nx FROM cb GROUP BY label), dots AS (SELECT label, sum(cb.n * qb.n) AS d FROM cb JOIN qb USING (b) GROUP BY label),
-scored AS (SELECT c.label, round(coalesce(d / nullif(nx * (SELECT sqrt(sum(n * n)) FROM qb), 0), 0), 6) AS score FROM chunks c LEFT JOIN norms USING (label) LEFT JOIN dots USING (label)),
+scored AS (SELECT c.label, round(coalesce(d / nullif(nx * (SELECT sqrt(sum(n * n)) FROM qb), 0), 0), 9) AS score FROM chunks c LEFT JOIN norms USING (label) LEFT JOIN dots USING (label)),
 """
-    + f"""hits AS MATERIALIZED (SELECT c.*, h.score FROM (SELECT * FROM scored ORDER BY score DESC, label LIMIT {K}) h JOIN chunks c USING (label)),
+    + f"""hits AS MATERIALIZED (SELECT c.*, round(h.score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, label LIMIT {K}) h JOIN chunks c USING (label)),
 hit_files AS MATERIALIZED (SELECT file_id, text FROM files WHERE file_id IN (SELECT file_id FROM hits))"""
     + offsets("hit_files")
     + """,
@@ -263,7 +264,7 @@ SQUARED = "list_sum(list_transform(list_zip(e, q), lambda x: (x[1] - x[2]) * (x[
 
 
 def _knn_sql(score: str, k: int) -> str:
-    return f"WITH {PROBE} SELECT label, round({score}, 6) AS score FROM v, p ORDER BY score DESC, label LIMIT {k}"
+    return f"WITH {PROBE}, s AS (SELECT label, round({score}, 9) AS full FROM v, p ORDER BY full DESC, label LIMIT {k}) SELECT label, round(full, 6) AS score FROM s"
 
 
 @query(_knn_sql("list_cosine_similarity(e, q)", 10))
@@ -304,8 +305,8 @@ def vector_distances(spark, sf):
 
 
 @query("""WITH v AS (SELECT vec_id AS label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE label % 100 = 0),
-s AS (SELECT q.label AS query_id, v.label, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v, q),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
+s AS (SELECT q.label AS query_id, v.label, round(list_cosine_similarity(v.e, q.e), 9) AS score FROM v, q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS INTEGER) AS rank FROM s) SELECT query_id, label, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def batch_knn(spark, sf):
     vectors = _vectors(spark, sf)
     return nearest_of_many(vectors, vectors.where("label % 100 = 0").select(F.col("label").alias("query_id"), F.col("embedding").alias("query")))
@@ -319,8 +320,8 @@ def lsh_knn(spark, sf):
 @query(f"""WITH {CHUNKS}, {buckets('cb', 'chunks', 'label', 'chunk_text')}, {buckets('qb', 'benchmark', 'item_id', 'text')},
 cn AS (SELECT label, sqrt(sum(n * n)) AS nx FROM cb GROUP BY label), qn AS (SELECT item_id, sqrt(sum(n * n)) AS nq FROM qb GROUP BY item_id),
 d AS (SELECT item_id, label, sum(cb.n * qb.n) AS d FROM cb JOIN qb USING (b) GROUP BY ALL),
-s AS (SELECT qn.item_id AS query_id, cn.label, round(coalesce(d / (nx * nq), 0), 6) AS score FROM cn CROSS JOIN qn LEFT JOIN d ON d.item_id = qn.item_id AND d.label = cn.label),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
+s AS (SELECT qn.item_id AS query_id, cn.label, round(coalesce(d / (nx * nq), 0), 9) AS score FROM cn CROSS JOIN qn LEFT JOIN d ON d.item_id = qn.item_id AND d.label = cn.label),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS INTEGER) AS rank FROM s) SELECT query_id, label, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def benchmark_search(spark, sf):
     chunks = embedded(_chunks(spark, sf).select("label", "chunk_text"), HashedTerms())
     texts = embedded(spark.read.parquet(f"{sf}/benchmark.parquet"), HashedTerms(), "text")
@@ -331,10 +332,7 @@ def benchmark_search(spark, sf):
 
 
 def _search(spark, sf, min_score: float = -1.0, paths: list[str] | None = None, keyword: str | None = None, k: int = K) -> DataFrame:
-    files, chunks = _files(spark, sf), _chunks(spark, sf)
-    query_vector = HashedTerms().encode([TEXT], query=True)[0]
-    hits = nearest(embedded(chunks.select("label", "chunk_text"), HashedTerms()), query_vector, k)
-    return results(hits, chunks.drop("file_path"), files, min_score, paths, keyword)
+    return Engine(spark).search_files(_files(spark, sf), TEXT, k, min_score, paths, keyword)
 
 
 @query(SCORED + "SELECT * FROM found")

@@ -16,7 +16,7 @@ from siftwell.operators.searching import results
 from siftwell.operators.vectors import nearest
 from siftwell.plans.sync import Totals, sync
 from siftwell.sources.extract import PlainExtractor, TextExtractor
-from siftwell.sources.files import gather, gather_all, read_files
+from siftwell.sources.files import gather, gather_all, path_rows, read_files, read_paths
 from siftwell.sources.snapshots import Store
 
 
@@ -40,9 +40,9 @@ class Engine:
 
     def search_chunks(self, chunks: DataFrame, files: DataFrame, query: str, k: int = DEFAULT_TOP, min_score: float = DEFAULT_MIN_SCORE, paths: list[str] | None = None, keyword: str | None = None) -> DataFrame:
         vector = self.embedder.encode([query], query=True)[0]
-        hits = nearest(chunks, vector, k, self.metric)
-        own = chunks.drop("file_path") if "file_path" in chunks.columns else chunks
-        return results(hits, own, files, min_score, paths, keyword)
+        # the columns of the winners come along, so that no chunk is looked up again
+        kept = [c for c in ("file_id", "file_path", "chunk_text", "start_char_offset", "end_char_offset") if c in chunks.columns]
+        return results(nearest(chunks, vector, k, self.metric, keep=tuple(kept)), None, files, min_score, paths, keyword, k)
 
     def search_path(self, path: Path, query: str, patterns: list[str] | None = None, **options) -> DataFrame:
         """One-off search over a file or folder; files that cannot be read or hold no text have no chunks."""
@@ -51,16 +51,17 @@ class Engine:
         numbers = self.spark.createDataFrame([(str(p), i) for i, p in enumerate(found)], "file_path string, file_id long")
         return self.search_files(files.join(F.broadcast(numbers), "file_path"), query, **options)
 
-    def open(self, path: str) -> Store:
+    def open(self, path: str, rebuild: bool = False) -> Store:
+        """The store at ``path``; with ``rebuild`` its chunk geometry and embedder may differ from this engine's until it is indexed anew."""
         settings = {"embedder": self.embedder.name, "chunk_size": getattr(self.chunker, "size", None), "chunk_overlap": getattr(self.chunker, "overlap", None)}
-        return Store(self.spark, path, settings)
+        return Store(self.spark, path, settings, rebuild)
 
     def index(self, store: Store, roots: list[str], patterns: list[str] | None = None, rebuild: bool = False, workers: int | None = None, warn=None) -> Totals:
-        """Bring a project's store in line with the files under ``roots``."""
+        """Bring a project's store in line with the files under ``roots``. All are hashed, only new and changed ones parsed."""
         if not roots:
             raise IndexerError("the project has no paths to index")
-        current = read_files(self.spark, gather_all(roots, patterns, warn), self.extractor, workers)
-        return sync(store, current, self.chunker, self.embedder, rebuild)
+        found = path_rows(self.spark, gather_all(roots, patterns, warn), workers)
+        return sync(store, read_paths(found, None), self.chunker, self.embedder, rebuild, lambda rows: read_paths(rows, self.extractor))
 
     def search_project(self, store: Store, query: str, **options) -> DataFrame:
         return self.search_chunks(store.chunks, store.files, query, **options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.embedding import Embedder, HashedTerms, embedded
 from siftwell.operators.chunking import TokenChunker, WordChunker, chunked, labelled
+from siftwell.session import ensure_checkpoint_dir
 from siftwell.sources.snapshots import MAX_LABEL, Store, upserted
 
 
@@ -47,44 +49,49 @@ def totals(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 
 
-def sync(store: Store, current: DataFrame, chunker: TokenChunker | None = None, embedder: Embedder | None = None, rebuild: bool = False) -> Totals:
+def sync(store: Store, current: DataFrame, chunker: TokenChunker | None = None, embedder: Embedder | None = None, rebuild: bool = False, read: Callable[[DataFrame], DataFrame] | None = None) -> Totals:
     """Bring ``store`` in line with ``current`` (the columns of :func:`siftwell.sources.files.read_files`).
 
     Unchanged files keep their rows; changed and new ones are chunked and embedded; deleted ones go.
-    Everything lands in one snapshot. Labels are never used twice, not even by a rebuild. Files without
-    text get a file row and no chunk. Returns files processed (unchanged ones too), chunks made, errors.
+    Everything, a rebuild too, lands in one snapshot. Labels are never used twice, not even by a
+    rebuild. ``read`` gives the rows of new and changed paths with their text, if ``current`` has none.
+    Files without text get a file row and no chunk. Returns files processed (unchanged ones too), chunks
+    made, errors.
     """
     chunker, embedder = chunker or WordChunker(), embedder or HashedTerms()
-    if rebuild:
-        store.wiped()
-    files, chunks = store.files, store.chunks
-    current = current.persist()
-    try:
-        status = classified(files, current).persist()
-        base_label, base_file = (files.sparkSession.createDataFrame([(store.max_label(),)], "stored long").crossJoin(chunks.agg(F.max("label").alias("top"), F.max("chunk_id").alias("chunk")))).first(), files.agg(F.max("file_id")).first()[0]
-        stored = base_label["stored"]
-        label = (stored if stored is not None else base_label["top"] if base_label["top"] is not None else -1) + 1
-
-        fresh = current.join(status.where(F.col("status").isin("new", "changed")).select("file_path"), "file_path", "left_semi")
-        numbered = _numbered(fresh, 0 if base_file is None else base_file + 1)
-        cut = labelled(embedded(chunked(numbered, chunker), embedder), label)
-        new_chunks = cut.withColumn("chunk_id", F.col("label"))
-        new_files = numbered.withColumn("last_indexed_at", F.current_timestamp())
-        kept_files = files.join(status.where("status = 'unchanged'").select("file_path"), "file_path", "left_semi")
-        kept_chunks = chunks.join(kept_files.select("file_id"), "file_id", "left_semi")
-
-        new_chunks = new_chunks.select(chunks.columns).persist()
-        made = new_chunks.agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("top")).first()
-        top = made["top"] if made["top"] is not None else label - 1
-        values = store.key_values
-        if top >= 0:
-            values = upserted(values, files.sparkSession.createDataFrame([(MAX_LABEL, str(top))], "key string, value string"))
-        store.commit(files=kept_files.select(files.columns).unionByName(new_files.select(files.columns)), chunks=kept_chunks.select(chunks.columns).unionByName(new_chunks), key_values=values)
-        n = {r["status"]: r["files"] for r in totals(status).collect()}
-        new_chunks.unpersist()
-        return Totals(sum(n.get(s, 0) for s in ("new", "changed", "unchanged")), made["n"], n.get("error", 0))
-    finally:
-        current.unpersist()
+    spark = current.sparkSession
+    ensure_checkpoint_dir(spark)
+    stored_files, stored_chunks = store.files, store.chunks
+    # what was read is fixed here: files that change later, or are read again by another executor, must not matter
+    current = current.checkpoint()
+    known = stored_files.where(F.lit(not rebuild))
+    status = classified(known, current)
+    fresh = current.join(status.where(F.col("status").isin("new", "changed")).select("file_path"), "file_path", "left_semi")
+    if read is not None:
+        fresh = read(fresh.select("file_path")).checkpoint()
+        lost = fresh.where(F.col("content_hash").isNull()).select("file_path", F.lit("error").alias("failed"))
+        status = status.join(lost, "file_path", "left").withColumn("status", F.coalesce("failed", "status")).drop("failed")
+        fresh = fresh.where(F.col("content_hash").isNotNull())
+    status = status.checkpoint()
+
+    tops = stored_chunks.agg(F.max("label").alias("label")).first()["label"], stored_files.agg(F.max("file_id").alias("file")).first()["file"]
+    counter = store.max_label()
+    label = (counter if counter is not None else tops[0] if tops[0] is not None else -1) + 1
+    numbered = _numbered(fresh, 0 if tops[1] is None else tops[1] + 1)
+    new_chunks = labelled(embedded(chunked(numbered, chunker), embedder), label)
+    new_chunks = new_chunks.withColumn("chunk_id", F.col("label")).select(stored_chunks.columns).checkpoint()
+    new_files = numbered.withColumn("last_indexed_at", F.current_timestamp()).select(stored_files.columns)
+    kept_files = stored_files.join(status.where("status = 'unchanged'").select("file_path"), "file_path", "left_semi").select(stored_files.columns)
+    kept_chunks = stored_chunks.join(kept_files.select("file_id"), "file_id", "left_semi").select(stored_chunks.columns)
+
+    made = new_chunks.agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("top")).first()
+    top = made["top"] if made["top"] is not None else label - 1
+    values = store.key_values
+    if top >= 0:
+        values = upserted(values, spark.createDataFrame([(MAX_LABEL, str(top))], "key string, value string"))
+    store.commit(files=kept_files.unionByName(new_files), chunks=kept_chunks.unionByName(new_chunks), key_values=values)
+    n = {r["status"]: r["files"] for r in totals(status).collect()}
+    return Totals(sum(n.get(s, 0) for s in ("new", "changed", "unchanged")), made["n"], n.get("error", 0))
 
 
 def _numbered(files: DataFrame, base: int) -> DataFrame:

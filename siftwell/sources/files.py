@@ -74,7 +74,17 @@ def read_files(spark: SparkSession, paths: list[Path], extractor: TextExtractor
     empty text. The listing is the driver's, so executors must see the same folders, as with any
     file:// source.
     """
-    extractor = extractor or PlainExtractor()
+    return read_paths(path_rows(spark, paths, partitions), extractor or PlainExtractor())
+
+
+def path_rows(spark: SparkSession, paths: list[Path], partitions: int | None = None) -> DataFrame:
+    """``file_path`` of ``paths``, dealt over the executors."""
+    width = partitions or max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame([(str(p),) for p in paths], "file_path string").repartition(width)
+
+
+def read_paths(rows: DataFrame, extractor: TextExtractor | None) -> DataFrame:
+    """As :func:`read_files`, for ``rows (file_path)``; without an extractor the files are only hashed and have no text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -87,14 +97,13 @@ def read_files(spark: SparkSession, paths: list[Path], extractor: TextExtractor
                 except OSError as e:
                     rows.append((path, None, None, None, None, str(e)))
                     continue
-                rows.append((path, stat.st_size, int(stat.st_mtime * 1_000_000), hashlib.sha256(raw).hexdigest(), extractor.extract(path, raw), None))
+                text = None if extractor is None else extractor.extract(path, raw)
+                rows.append((path, stat.st_size, int(stat.st_mtime * 1_000_000), hashlib.sha256(raw).hexdigest(), text, None))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.string(), pa.int64(), pa.timestamp("us", tz="UTC"), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
 
-    rows = spark.createDataFrame([(str(p),) for p in paths], "file_path string")
-    width = partitions or max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism))
-    return rows.repartition(width).mapInArrow(read, READ)
+    return rows.select("file_path").mapInArrow(read, READ)
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Project tables as immutable snapshots with a pointer to the current one.
 
-A run writes its tables into a new folder and then moves the pointer; readers see the old state or
-the new one, never a mixture. All paths go through Spark's file systems.
+A run writes its tables into a new folder and then a new pointer file, numbered one higher; readers take
+the newest and so see the old state or the new one, never a mixture. All paths go through Spark's file
+systems.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from siftwell import schemas
 from siftwell.errors import ConfigError, MetadataError
 
 MAX_LABEL = "max_label"
+#: Beginning of the names of pointer files; a number follows.
+POINTER = "CURRENT-"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -40,33 +43,77 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def replace_folder(df: DataFrame, path: str) -> None:
-    """``df`` as Parquet at ``path``: written beside it, then moved there; nothing is left behind on failure."""
+def new_folder(df: DataFrame, path: str) -> None:
+    """``df`` as Parquet at ``path``, where nothing is yet: written beside it, then moved there whole."""
     spark, staged = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     try:
         df.write.parquet(staged)
-        if exists(spark, path):
-            delete(spark, path)
         _rename(spark, staged, path)
     except Exception:
         delete(spark, staged)
         raise
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, replaced as a whole."""
-    staged = f"{path}.{uuid.uuid4().hex}"
+def _pointers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the pointer files in ``folder``, the newest first."""
+    fs, at = _fs(spark, folder)
+    if not fs.exists(at):
+        return []
+    names = [str(f.getPath().getName()) for f in fs.listStatus(at)]
+    return sorted((int(n[len(POINTER) :]) for n in names if n.startswith(POINTER) and n[len(POINTER) :].isdigit()), reverse=True)
+
+
+def read_pointer(spark: SparkSession, folder: str) -> dict | None:
+    """What the newest readable pointer file in ``folder`` says; None if there is none."""
+    for number in _pointers(spark, folder):
+        try:
+            return json.loads(read_text(spark, f"{folder}/{POINTER}{number:08d}"))
+        except ValueError:
+            continue
+    return None
+
+
+def write_pointer(spark: SparkSession, folder: str, value: dict) -> None:
+    """A new pointer file, moved into place whole under the next number; older ones but the last go.
+
+    At every moment the newest pointer that is there is valid. Of two writers that take the same number
+    one fails.
+    """
+    known = _pointers(spark, folder)
+    staged = f"{folder}/.{uuid.uuid4().hex}"
     fs, at = _fs(spark, staged)
     fs.mkdirs(at.getParent())
     out = fs.create(at)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(json.dumps(value).encode()))
     out.close()
-    final = _fs(spark, path)[1]
-    if fs.exists(final):
-        fs.delete(final, False)
-    if not fs.rename(at, final):
+    final = f"{folder}/{POINTER}{(known[0] if known else 0) + 1:08d}"
+    if exists(spark, final) or not fs.rename(at, _fs(spark, final)[1]):
         fs.delete(at, False)
-        raise OSError(f"{path} cannot be written")
+        raise OSError(f"{final} cannot be written")
+    for number in known[1:]:
+        delete(spark, f"{folder}/{POINTER}{number:08d}")
+
+
+def save_table(df: DataFrame, folder: str) -> None:
+    """``df`` as the current table of ``folder``; the one before stays until the next, for readers that are under way."""
+    spark = df.sparkSession
+    before = read_pointer(spark, folder)
+    name = f"data-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(f"{folder}/{name}")
+        write_pointer(spark, folder, {"data": name, "before": before and before["data"]})
+    except Exception:
+        delete(spark, f"{folder}/{name}")
+        raise
+    if before and before.get("before"):
+        delete(spark, f"{folder}/{before['before']}")
+
+
+def load_table(spark: SparkSession, folder: str) -> DataFrame:
+    found = read_pointer(spark, folder)
+    if found is None:
+        raise FileNotFoundError(folder)
+    return spark.read.parquet(f"{folder}/{found['data']}")
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -83,20 +130,30 @@ class Store:
 
     TABLES = {"files": schemas.FILES, "chunks": schemas.CHUNKS, "key_values": schemas.KEY_VALUES}
 
-    def __init__(self, spark: SparkSession, path: str, settings: dict | None = None):
-        """Opens the store at ``path``, made empty if there is none; ``settings`` must agree with those it was made with."""
+    def __init__(self, spark: SparkSession, path: str, settings: dict | None = None, rebuild: bool = False):
+        """Opens the store at ``path``, made empty if there is none.
+
+        ``settings`` must agree with those it was made with, unless a ``rebuild`` is to follow, whose
+        commit records them.
+        """
         self.spark, self.path = spark, path.rstrip("/")
-        if not exists(spark, f"{self.path}/CURRENT"):
+        pointer = read_pointer(spark, self.path)
+        if pointer is None:
             self._settings = settings or {}
             self.commit(**{t: spark.createDataFrame([], s) for t, s in self.TABLES.items()})
-        else:
-            self._settings = self._pointer()["settings"]
-            for key, value in (settings or {}).items():
-                if self._settings.get(key, value) != value:
-                    raise ConfigError(f"the project was indexed with {key} = {self._settings[key]}, not {value}; rebuild it to change that")
+            return
+        self._settings = pointer["settings"]
+        for key, value in (settings or {}).items():
+            if not rebuild and self._settings.get(key, value) != value:
+                raise ConfigError(f"the project was indexed with {key} = {self._settings[key]}, not {value}; rebuild it to change that")
+        self._settings = self._settings | (settings or {})
+
+    @staticmethod
+    def there(spark: SparkSession, path: str) -> bool:
+        return read_pointer(spark, path.rstrip("/")) is not None
 
     def _pointer(self) -> dict:
-        return json.loads(read_text(self.spark, f"{self.path}/CURRENT"))
+        return read_pointer(self.spark, self.path)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.path}/{self._pointer()['snapshot']}/{name}")
@@ -114,24 +171,23 @@ class Store:
         return self.table("key_values")
 
     def commit(self, **tables: DataFrame) -> None:
-        """A new snapshot of all three tables; those not given stay as they are. The snapshot before is dropped."""
-        old = self._pointer()["snapshot"] if exists(self.spark, f"{self.path}/CURRENT") else None
+        """A new snapshot of all three tables; those not given stay as they are.
+
+        The snapshot before stays until the next commit, for readers that are under way.
+        """
+        old = self._pointer()
         new = f"snapshot-{uuid.uuid4().hex}"
         try:
             for name, schema in self.TABLES.items():
                 df = tables.get(name)
                 df = self.table(name) if df is None else df
                 df.select([F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{self.path}/{new}/{name}")
-            write_text(self.spark, f"{self.path}/CURRENT", json.dumps({"snapshot": new, "settings": self._settings}))
+            write_pointer(self.spark, self.path, {"snapshot": new, "before": old and old["snapshot"], "settings": self._settings})
         except Exception:
             delete(self.spark, f"{self.path}/{new}")
             raise
-        if old:
-            delete(self.spark, f"{self.path}/{old}")
-
-    def wiped(self) -> None:
-        """No files and chunks; key-values, and so the label counter, stay."""
-        self.commit(files=self.spark.createDataFrame([], schemas.FILES), chunks=self.spark.createDataFrame([], schemas.CHUNKS))
+        if old and old.get("before"):
+            delete(self.spark, f"{self.path}/{old['before']}")
 
     def counts(self) -> tuple[int, int]:
         row = index_counts(self.files, self.chunks).first()
