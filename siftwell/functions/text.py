@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters without width that do not make a chunk worth keeping.
-ZERO_WIDTH = "​‌‍﻿"
+#: Zero width space, non-joiner, joiner and no-break space, which do not make a chunk worth keeping.
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 #: White space between the built-in tokenizer's tokens.
 TOKEN_SPLIT = "[ \\t\\n\\r\\f]+"
 

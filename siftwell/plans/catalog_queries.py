@@ -204,10 +204,15 @@ def nonblank_docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").where(~is_blank(F.col("text"))).select("doc_id")
 
 
-@query("SELECT id, keep FROM (VALUES (1, false), (2, false), (3, true), (4, false), (5, false), (6, true)) v(id, keep)")
+INVISIBLE = "\\u200b\\u200c\\u200d\\ufeff"
+
+
+@query(r"""WITH v AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN regexp_replace(text, '\S', '', 'g') WHEN 1 THEN chr(8203) || chr(65279) || ' ' WHEN 2 THEN chr(8203) || left(text, 3) ELSE text END AS t FROM documents)
+SELECT doc_id, length(regexp_replace(t, '[\s\x{A0}\x{3000}\x{200B}\x{200C}\x{200D}\x{FEFF}]', '', 'g')) > 0 AS keep FROM v""")
 def blank_chunks(spark, sf):
-    rows = [(1, ""), (2, "​"), (3, "a​"), (4, "  ‍﻿\n"), (5, "　"), (6, "​x y")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", (~is_blank_chunk(F.col("text"))).alias("keep"))
+    text, kind = F.col("text"), F.col("doc_id") % 4
+    chunk = F.when(kind == 0, F.regexp_replace(text, r"\S", "")).when(kind == 1, F.lit("\u200b\ufeff ")).when(kind == 2, F.concat(F.lit("\u200b"), F.substring(text, 1, 3))).otherwise(text)
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", (~is_blank_chunk(chunk)).alias("keep"))
 
 
 @query(f"WITH {FILES}{OFFSETS} SELECT file_id, pos, token, s AS start_char_offset, e AS end_char_offset FROM tok")
@@ -239,10 +244,13 @@ def assign_labels(spark, sf):
     return _chunks(spark, sf).select("label", "file_path", "chunk_no")
 
 
-@query("SELECT stored, next_label FROM (VALUES ('41', 42), ('x', 8), (NULL, 8)) v(stored, next_label)")
+@query("""WITH v AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN CAST(3 * vec_id AS VARCHAR) WHEN 1 THEN 'v' || vec_id END AS stored FROM embeddings)
+SELECT vec_id, stored, coalesce(try_cast(stored AS BIGINT), vec_id) + 1 AS next_label FROM v""")
 def resume_labels(spark, sf):
-    rows = spark.createDataFrame([("41", 7), ("x", 7), (None, 7)], "stored string, top long")
-    return rows.select("stored", next_label(F.col("stored"), F.col("top")).cast("int").alias("next_label"))
+    key = F.col("label")
+    stored = F.when(key % 3 == 0, (3 * key).cast("string")).when(key % 3 == 1, F.concat(F.lit("v"), key.cast("string")))
+    rows = _vectors(spark, sf).select(key.alias("vec_id"), stored.alias("stored"))
+    return rows.select("vec_id", "stored", next_label(F.col("stored"), F.col("vec_id")).cast("long").alias("next_label"))
 
 
 @query(f"WITH {CHUNKS}, {buckets('cb', 'chunks', 'label', 'chunk_text')} SELECT label, CAST(b AS INTEGER) AS bucket, CAST(n AS DOUBLE) AS n FROM cb")
@@ -264,7 +272,7 @@ SQUARED = "list_sum(list_transform(list_zip(e, q), lambda x: (x[1] - x[2]) * (x[
 
 
 def _knn_sql(score: str, k: int) -> str:
-    return f"WITH {PROBE}, s AS (SELECT label, round({score}, 9) AS full FROM v, p ORDER BY full DESC, label LIMIT {k}) SELECT label, round(full, 6) AS score FROM s"
+    return f"WITH {PROBE}, s AS (SELECT label, round({score}, 9) AS exact FROM v, p ORDER BY exact DESC, label LIMIT {k}) SELECT label, round(exact, 6) AS score FROM s"
 
 
 @query(_knn_sql("list_cosine_similarity(e, q)", 10))
@@ -480,23 +488,28 @@ def empty_scan(spark, sf):
     return classified(files, files.where(F.lit(False)))
 
 
-@query("SELECT key, value FROM (VALUES ('max_label', '90'), ('other', 'x'), ('more', 'y')) v(key, value)")
+@query("SELECT c_name AS key, CASE WHEN c_nationkey < 5 THEN 'changed' ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT 'new ' || s_name, s_name FROM supplier")
 def kv_upsert(spark, sf):
-    stored = spark.createDataFrame([("max_label", "100"), ("other", "x")], "key string, value string")
-    return upserted(stored, spark.createDataFrame([("max_label", "90"), ("more", "y")], "key string, value string"))
+    customers, suppliers = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "supplier"))
+    stored = customers.select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value"))
+    changed = customers.where("c_nationkey < 5").select(F.col("c_name").alias("key"), F.lit("changed").alias("value"))
+    return upserted(stored, changed.unionByName(suppliers.select(F.concat(F.lit("new "), "s_name").alias("key"), F.col("s_name").alias("value"))))
 
 
-@query("SELECT file_id, file_path FROM (VALUES (1::BIGINT, '/a'), (3::BIGINT, '/c')) v(file_id, file_path)")
+@query("""WITH rows AS (SELECT o_orderkey AS seq, o_orderkey % 700 AS file_id, '/o/' || (o_custkey % 900) AS file_path FROM orders),
+one AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY seq) AS n FROM rows), two AS (SELECT seq, file_id, file_path, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS n FROM one WHERE n = 1)
+SELECT file_id, file_path FROM two WHERE n = 1 AND file_id NOT IN (SELECT o_orderkey % 700 FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey % 700 < 100)""")
 def insert_files_dedup(spark, sf):
-    rows = spark.createDataFrame([(0, 1, "/a"), (1, 2, "/a"), (2, 3, "/c"), (3, 9, "/d")], "seq int, file_id long, file_path string")
-    stored = spark.createDataFrame([(9, "/z")], "file_id long, file_path string")
-    return first_of_each(rows, "file_path", "seq", stored).select("file_id", "file_path")
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 700).alias("file_id"), F.concat(F.lit("/o/"), (F.col("o_custkey") % 900).cast("string")).alias("file_path"))
+    stored = orders.where("seq % 11 = 0 and file_id < 100").select("file_id", "file_path")
+    return first_of_each(orders, "file_path", "seq", stored).select("file_id", "file_path")
 
 
-@query("SELECT project_id, path FROM (VALUES (1::BIGINT, '/b'), (2::BIGINT, '/a')) v(project_id, path)")
+@query("SELECT DISTINCT s_nationkey AS project_id, '/' || (s_suppkey % 7) AS path FROM supplier EXCEPT SELECT c_nationkey, '/' || (c_custkey % 7) FROM customer WHERE c_acctbal > 5000")
 def insert_paths_ignore(spark, sf):
-    stored = spark.createDataFrame([(1, "/a")], "project_id long, path string")
-    return new_paths(stored, spark.createDataFrame([(1, "/a"), (1, "/b"), (1, "/b"), (2, "/a")], "project_id long, path string"))
+    wanted = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").alias("project_id"), F.concat(F.lit("/"), (F.col("s_suppkey") % 7).cast("string")).alias("path"))
+    stored = spark.read.parquet(f"{sf}/customer.parquet").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("project_id"), F.concat(F.lit("/"), (F.col("c_custkey") % 7).cast("string")).alias("path"))
+    return new_paths(stored, wanted)
 
 
 @query(f"WITH {CHUNKS} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM chunks) AS chunks")
@@ -519,18 +532,20 @@ def distinct_chunk_files(spark, sf):
     return _plain_chunks(spark, sf).select("file_id", "file_path").distinct()
 
 
-PROJECTS = [(1, "default", "/s/1", "m"), (2, "my-notes", "/s/2", "m"), (3, "archive", "/s/3", "m")]
+def _projects(spark, sf) -> DataFrame:
+    """Regions as projects."""
+    return spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").cast("long").alias("project_id"), project_name(F.col("r_name")).alias("project_name"), F.lit("/s").alias("store_path"), F.lit("m").alias("embedding_model_name"))
 
 
-@query("SELECT project_name FROM (VALUES ('archive'), ('default'), ('my-notes'), ('new-one')) v(project_name)")
+@query("SELECT replace(lower(r_name), ' ', '-') AS project_name FROM region UNION SELECT replace(lower(n_name), ' ', '-') FROM nation")
 def project_list(spark, sf):
-    stored = spark.createDataFrame(PROJECTS, "project_id long, project_name string, store_path string, embedding_model_name string")
-    wanted = spark.createDataFrame([("New One",), ("default",)], "folder string").select(project_name(F.col("folder")).alias("project_name"))
+    stored = _projects(spark, sf)
+    wanted = spark.read.parquet(f"{sf}/nation.parquet").select(project_name(F.col("n_name")).alias("project_name"))
     return stored.select("project_name").unionByName(numbered_projects(stored, wanted).select("project_name")).orderBy("project_name")
 
 
-@query("SELECT project_name, paths FROM (VALUES ('archive', ''), ('default', '/a,/b'), ('my-notes', '/n')) v(project_name, paths)")
+@query("""SELECT replace(lower(r_name), ' ', '-') AS project_name, coalesce(string_agg('/' || n_name, ',' ORDER BY n_name), '') AS paths
+FROM region LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON n_regionkey = r_regionkey GROUP BY r_name""")
 def project_config(spark, sf):
-    stored = spark.createDataFrame(PROJECTS, "project_id long, project_name string, store_path string, embedding_model_name string")
-    roots = spark.createDataFrame([(1, "/b"), (1, "/a"), (2, "/n")], "project_id long, path string")
-    return with_paths(stored, roots).select("project_name", F.array_join("paths", ",").alias("paths"))
+    roots = spark.read.parquet(f"{sf}/nation.parquet").where("n_regionkey <> 2").select(F.col("n_regionkey").cast("long").alias("project_id"), F.concat(F.lit("/"), "n_name").alias("path"))
+    return with_paths(_projects(spark, sf), roots).select("project_name", F.array_join("paths", ",").alias("paths"))
