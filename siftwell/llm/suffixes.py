@@ -230,26 +230,36 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split(width: int):
-    """Rows ``ord, k, place, words`` to a row for every ``width`` windows of theirs, under the hash of the words that those share, with a digest of all their words."""
+    """Rows ``ord, k, place, words`` to a row for every ``width`` windows of theirs, under the hash of the words that those share, with a digest of all their words.
+
+    Those of a text that agree in these words are one row of several places, as far as they come together.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
         for batch in batches:
             at, low, high = _unpacked(batch.column(2).to_numpy())
-            rows, keys, places, held, extents = [], [], [], [], []
-            for i, (p, a, b, own) in enumerate(zip(at.tolist(), low.tolist(), high.tolist(), batch.column(3).to_pylist(), strict=True)):
+            found: dict[tuple, list] = {}
+            for p, a, b, order, k, own in zip(at.tolist(), low.tolist(), high.tolist(), *[batch.column(c).to_pylist() for c in (0, 1, 3)], strict=True):
                 words = own.split(b" ")
                 for least in range(a - a % width, b + 1, width):
                     first, last = max(a, least), min(b, least + width - 1)
-                    rows.append(i)
-                    keys.append(xxh3_64_intdigest(b" ".join(words[b - least : b - least - width + 1 + LEAST]), least))
-                    places.append((p << 16) | (first << 8) | last)
-                    held.append(b" ".join(words[b - last : b - first + LEAST]))
-                    extents.append(xxh3_128_digest(held[-1], (first << 8) | last))
-            taken = pa.array(rows, pa.int64())
-            columns = [np.array(keys, np.uint64).view(np.int64), batch.column(0).take(taken), batch.column(1).take(taken), np.array(places, np.int64), held, extents]
-            yield _rows(["key", "ord", "k", "place", "words", "extent"], *columns)
+                    held = b" ".join(words[b - last : b - first + LEAST])
+                    row = found.get((k, order, first, last, held))
+                    if row is None:
+                        key = xxh3_64_intdigest(b" ".join(words[b - least : b - least - width + 1 + LEAST]), least)
+                        row = found[k, order, first, last, held] = [key, xxh3_128_digest(held, (first << 8) | last), []]
+                    row[2].append((p << 16) | (first << 8) | last)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.array([key for key, _, _ in found.values()], np.uint64).view(np.int64)),
+                    pa.array([order for _, order, _, _, _ in found], pa.int64()), pa.array([k for k, *_ in found], pa.binary()),
+                    pa.array([sorted(places) for _, _, places in found.values()], pa.list_(pa.int64())), pa.array([held for *_, held in found], pa.binary()),
+                    pa.array([extent for _, extent, _ in found.values()], pa.binary()),
+                ],
+                names=["key", "ord", "k", "places", "words", "extent"],
+            )
 
     return split
 
@@ -286,26 +296,31 @@ def _match_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _extents(rows: DataFrame) -> DataFrame:
     """Of each ``extent`` of ``rows`` the first place and how many there are."""
-    return rows.groupBy("extent").agg(F.min(F.struct("ord", "k", "place")).alias("best"), F.count(F.lit(1)).alias("n"))
+    first = F.struct("ord", "k", F.col("places")[0].alias("place"))
+    return rows.groupBy("extent").agg(F.min(first).alias("best"), F.sum(F.size("places")).alias("n"), F.count(F.lit(1)).alias("rows"))
 
 
 def _with_first(rows: DataFrame, extents: DataFrame) -> DataFrame:
-    """``rows (ord, k, place, extent)`` with ``n``, how many share the extent, and ``one``: whether it is the first of them or overlaps it in its own text.
+    """``rows (ord, k, places, extent)`` with ``n``, how many places have the extent, and ``ones``: the first of them and those that overlap it in its own text.
 
     Extents with more than a thousandth of the rows, at most a thousand of them, are joined by broadcast.
     """
-    often, known = max(1, rows.count() // 1000), extents.select("extent", "best", "n")
-    marked = rows.join(F.broadcast(known.where(F.col("n") > often)), "extent", "left")
-    rest = marked.where("best is null").drop("best", "n").join(known.where(F.col("n") <= often), "extent")
-    one = (F.col("k") == F.col("best.k")) & (F.shiftright("place", 16) - F.shiftright("best.place", 16) < LEAST)
-    return marked.where("best is not null").unionByName(rest).withColumn("one", one).drop("best")
+    often = max(1, rows.count() // 1000)
+    marked = rows.join(F.broadcast(extents.where(F.col("rows") > often).drop("rows")), "extent", "left")
+    rest = marked.where("best is null").drop("best", "n").join(extents.where(F.col("rows") <= often).drop("rows"), "extent")
+    near = F.filter("places", lambda p: F.shiftright(p, 16) - F.shiftright("best.place", 16) < LEAST)
+    ones = F.when(F.col("k") == F.col("best.k"), near).otherwise(F.array().cast("array<bigint>"))
+    return marked.where("best is not null").unionByName(rest).withColumn("ones", ones).drop("best")
 
 
 def _copies(marked: DataFrame) -> DataFrame:
-    """``k, first, end, kept`` of the rows of :func:`_with_first` whose extent occurs in several places."""
-    at = F.shiftright("place", 16)
-    low, high = F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
-    return marked.where("n > 1").select("k", (at - high).alias("first"), (at - low + LEAST).alias("end"), F.when(F.col("one"), F.lit(True)).alias("kept"))
+    """``k, spans`` of the rows of :func:`_with_first` whose extent has several places."""
+
+    def span(p):
+        at, low, high = F.shiftright(p, 16), F.shiftright(p, 8).bitwiseAND(F.lit(255)), p.bitwiseAND(F.lit(255))
+        return F.struct((at - high).alias("first"), (at - low + LEAST).alias("end"), F.when(F.array_contains("ones", p), F.lit(True)).alias("kept"))
+
+    return marked.where("n > 1").select("k", F.transform("places", span).alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -359,17 +374,18 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if long is None:
             break
         # of equal extents one goes on, with those that overlap it; they are compared with what shares a part of it
-        parts = pinned(long.select("ord", "k", "place", "words").mapInArrow(_split(windows), f"{run}, extent binary"))
+        parts = pinned(long.select("ord", "k", "place", "words").mapInArrow(_split(windows), "key long, ord long, k binary, places array<long>, words binary, extent binary"))
         marked = pinned(_with_first(parts, pinned(_extents(parts))))
         copies_in_long = _copies(marked) if copies_in_long is None else copies_in_long.unionByName(_copies(marked))
-        ones = marked.where("one").select("key", "ord", "k", "place", "words")
+        ones = marked.where(F.size("ones") > 0).select("key", "ord", "k", F.explode("ones").alias("place"), "words")
         ones = pinned(ones.join(ones.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
         if windows > 1:
             few = few.unionByName(ones.where(F.col("n") <= RUN).drop("n"))
         long = None if ones.where(F.col("n") > RUN).isEmpty() else ones.where(F.col("n") > RUN)
     spans = few.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_match_sorted, "k binary, first long, end long, kept boolean")
+    spans = spans.select("k", F.array(F.struct("first", "end", "kept")).alias("spans"))
     spans = spans if copies_in_long is None else spans.unionByName(copies_in_long)
-    lists = spans.groupBy("k").agg(F.collect_set(F.struct("first", "end", "kept")).alias("spans"))
+    lists = spans.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     span = "array<struct<first:bigint,end:bigint>>"
     merged_spans = lists.mapInArrow(_merge, f"k binary, repeated {span}, later {span}")
 
