@@ -54,7 +54,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops; all columns stay as they are."""
+    """``docs`` without the rows that :func:`exact_dedup` drops; all columns stay as they are.
+
+    Null and empty texts are one group, of which the row with the largest id stays; a null id is the
+    smallest. Of rows that repeat an id with equal text any one stays. An empty table stays empty.
+    """
     verdict = exact_dedup(docs, id_col, text_col, support).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
     digest = F.sha2(F.encode(text_of(docs, text_col), "UTF-8"), 256)
     tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[id_col].alias("_id"), digest.alias("_digest"))

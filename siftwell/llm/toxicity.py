@@ -274,7 +274,12 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", at: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose text scores ``at`` or more; all columns stay."""
+    """``docs`` without the rows whose text scores ``at`` or more; all columns stay.
+
+    A null text counts as empty, and an empty one scores as a text without a match, so both stay as a
+    rule. Rows that repeat a text or an id are judged alike. Without labels of both kinds, or without
+    rows, nothing goes.
+    """
     model = train(docs, labels, id_col, text_col)
 
     @F.pandas_udf("double")
