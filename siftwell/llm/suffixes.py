@@ -385,7 +385,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spans = few.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_match_sorted, "k binary, first long, end long, kept boolean")
     spans = spans.select("k", F.array(F.struct("first", "end", "kept")).alias("spans"))
     spans = spans if copies_in_long is None else spans.unionByName(copies_in_long)
-    lists = spans.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    lists = spans.groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     span = "array<struct<first:bigint,end:bigint>>"
     merged_spans = lists.mapInArrow(_merge, f"k binary, repeated {span}, later {span}")
 
