@@ -48,9 +48,9 @@ _GATE_FROM = np.array([1, 2, 4, 8, 16, 64, 512])
 ODDS = 64
 #: Steps of the adaptive map over the mixed log-odds, which run from -12 to 12.
 STEPS = 48
-#: One in SAMPLED training texts, and different words, teaches the weights; all are counted. They are learned from in
-#: fixed shards of some so many tokens, so that the weights do not depend on partitions.
-SAMPLED, SHARD_TOKENS = 16, 1 << 20
+#: All training texts, and all different words, teach the weights, in fixed shards of some so many tokens, so that the
+#: weights do not depend on partitions.
+SHARD_TOKENS = 1 << 22
 #: Tokens, or bytes of words, whose decisions are looked into together.
 SWEEP = 1 << 12
 #: Decisions of one online step.
@@ -249,18 +249,41 @@ def log_odds(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return odds.astype(np.float32), np.searchsorted(_GATE_FROM, n.sum(-1, dtype=np.int64), side="right")
 
 
+#: Log-odds of the steps, as they are read back.
+_ODDS = 8 * np.arctanh(np.clip((np.arange(ODDS) - (ODDS // 2 - 1)) / (ODDS // 2 - 1), -0.98, 0.98))
+_ODDS32 = _ODDS.astype(np.float32)
+
+
+def _codes(n: np.ndarray) -> np.ndarray:
+    """Gate and log-odds, in ODDS steps, of counts (n0, n1) in the last axis, as one code."""
+    odds, gate = log_odds(n)
+    half = ODDS // 2 - 1
+    return (gate * ODDS + np.rint(half + half * np.tanh(odds / 8)).astype(np.int64)).astype(np.uint16)
+
+
+def left_out(counts: np.ndarray) -> np.ndarray:
+    """``(tables, 2 * slots)``: the code of each context before the last 0 was counted, and before the last 1 was."""
+    out = np.empty((*counts.shape[:2], 2), np.uint16)
+    for i, table in enumerate(counts):
+        for bit in (0, 1):
+            n = table.copy()
+            n[:, bit] -= n[:, bit] > 0
+            out[i, :, bit] = _codes(n)
+    return out.reshape(len(counts), -1)
+
+
 def _step(z: np.ndarray) -> np.ndarray:
     return np.clip((z + 12) * (STEPS / 24), 0, STEPS - 1).astype(np.int64)
 
 
 class Learner:
-    """Gated weights, and the adaptive map, over the counts of all contexts.
+    """Gated weights, and the adaptive map, over the codes of all contexts (see :func:`left_out`).
 
     The gate is how often the leading context was seen, and how often the predictor's own was.
     """
 
-    def __init__(self, counts: np.ndarray, lead: int):
-        self.counts, self.lead, self.tables = counts, lead, len(counts)
+    def __init__(self, codes: np.ndarray, lead: int):
+        self.codes, self.lead, self.tables = codes, lead, len(codes)
         self.weights = np.full(GATES * self.tables * GATES, 1.2 / self.tables, np.float32)
         self.speed = np.full_like(self.weights, 1e-6)
         self.map = np.zeros((STEPS * 8, 2), np.int64)
@@ -268,17 +291,17 @@ class Learner:
 
     def __call__(self, d: Decisions) -> None:
         """Online steps over ``d``; they shrink as a weight has moved."""
-        n = np.stack([self.counts[i][d.slots[i]] for i in range(self.tables)]).astype(np.int32)
-        own = (slice(None), np.arange(len(d.bits)), d.bits.astype(np.int64))
-        n[own] = np.maximum(n[own] - 1, 0)
-        odds, gate = log_odds(n)
-        cell = (gate[self.lead] * self.tables + np.arange(self.tables)[:, None]) * GATES + gate
         for at in range(0, len(d.bits), STRIDE):
             part = slice(at, at + STRIDE)
-            c, o, bits = cell[:, part], odds[:, part], d.bits[part]
-            z = (self.weights[c] * o).sum(axis=0)
+            bits = d.bits[part]
+            codes = np.stack([self.codes[i].take(2 * d.slots[i][part] + bits, mode="clip") for i in range(self.tables)])
+            gate = (codes // np.uint16(ODDS)).astype(np.intp)
+            o = _ODDS32.take(codes % np.uint16(ODDS))
+            c = gate + GATES * (gate[self.lead] * self.tables + np.arange(self.tables)[:, None])
+            z = (self.weights.take(c) * o).sum(axis=0)
             p = 1 / (1 + np.exp(-np.clip(z, -14, 14)))
-            grad = np.bincount(c.reshape(-1), (o * (bits - p)).reshape(-1), len(self.weights)).astype(np.float32) / len(bits)
+            o *= bits - p
+            grad = np.bincount(c.reshape(-1), o.reshape(-1), len(self.weights)).astype(np.float32) / len(bits)
             self.speed += grad * grad
             self.weights += 0.05 * grad / np.sqrt(self.speed)
             self.map += np.bincount((_step(z) * 8 + d.kind[part]) * 2 + bits, minlength=self.map.size).reshape(self.map.shape)
@@ -291,13 +314,10 @@ class Mixer:
     def __init__(self, counts: np.ndarray, lead: int, weights: np.ndarray, refine: np.ndarray):
         self.lead, self.tables = lead, len(counts)
         self.codes = np.empty(counts.shape[:2], np.uint16)
-        half = ODDS // 2 - 1
         for i in range(self.tables):
-            odds, gate = log_odds(counts[i])
-            self.codes[i] = gate * ODDS + np.rint(half + half * np.tanh(odds / 8)).astype(np.int64)
-        odds = 8 * np.arctanh(np.clip((np.arange(ODDS) - half) / half, -0.98, 0.98))
+            self.codes[i] = _codes(counts[i])
         # what a predictor with a code adds, by the leading gate
-        adds = weights.reshape(GATES, self.tables, GATES, 1) * odds
+        adds = weights.reshape(GATES, self.tables, GATES, 1) * _ODDS
         self.adds = adds.transpose(1, 0, 2, 3).reshape(self.tables, -1).astype(np.float32)
         centre = (np.arange(STEPS) + 0.5) * (24 / STEPS) - 12
         prior = 1 / (1 + np.exp(-centre[:, None]))
@@ -406,16 +426,17 @@ def _unpacked(raw: bytes, kind) -> np.ndarray:
 
 
 def _weights(source: DataFrame, order: list[str], tokens: int, decisions: Callable, shared, lead: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gated weights and the adaptive map, learned from ``source`` in shards by the hash of ``order``, in that order.
+    """Gated weights and the adaptive map, learned from ``source`` in shards by the hash of ``order``, in the order of another hash.
 
-    Which shards there are follows from the data alone, and what they learned is added up in their order.
+    An order of the alphabet would leave the weights with what lies at its end. Which shards there are
+    follows from the data alone, and what they learned is added up in their order.
     """
     shards = max(8, tokens // SHARD_TOKENS)
     shape = "shard long, seen long, weights binary, map binary"
 
     def learn(batches):
         held: pa.Table | None = None
-        learner, at, counts = None, None, shared.value.whole()
+        learner, at, codes = None, None, left_out(shared.value.whole())
 
         def done(rows: pa.Table) -> None:
             for d, _ in decisions(rows.drop_columns("shard").combine_chunks()):
@@ -434,7 +455,7 @@ def _weights(source: DataFrame, order: list[str], tokens: int, decisions: Callab
                 if shard[a] != at:
                     if learner is not None:
                         yield out()
-                    held, learner, at = None, Learner(counts, lead), int(shard[a])
+                    held, learner, at = None, Learner(codes, lead), int(shard[a])
                 part = pa.Table.from_batches([batch.slice(a, b - a)])
                 held = part if held is None else pa.concat_tables([held, part])
                 while held.num_rows >= TOGETHER:  # the same rows together, however they arrive
@@ -444,7 +465,7 @@ def _weights(source: DataFrame, order: list[str], tokens: int, decisions: Callab
             yield out()
 
     spread = source.withColumn("shard", F.pmod(F.xxhash64(*order, F.lit(1)), F.lit(shards)))
-    spread = spread.select("shard", *source.columns).repartition("shard").sortWithinPartitions("shard", *order)
+    spread = spread.select("shard", *source.columns).repartition("shard").sortWithinPartitions("shard", F.xxhash64(*order, F.lit(2)), *order)
     tables = shared.value.tables
     weights, refine, total = np.zeros(GATES * tables * GATES), np.zeros((STEPS * 8, 2)), 0
     for row in sorted(spread.mapInArrow(learn, shape).collect(), key=lambda r: r["shard"]):  # a few kB from each shard
@@ -532,8 +553,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             yield from ((d, np.uint32(1)) for d in own.turns([c[single] for c in contexts], np.full(int(single.sum()), own.escape), table_bits))
 
     turn_counts = sc.broadcast(_context_counts(training.select("text"), lambda b: turns(b, False), TURN_TABLES, table_bits))
-    some = training.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text")
-    turn_weights = _weights(some, ["text"], n // SAMPLED, lambda b: turns(b, True), turn_counts, TURN_LEAD)
+    turn_weights = _weights(training.select("text"), ["text"], n, lambda b: turns(b, True), turn_counts, TURN_LEAD)
 
     # unlisted words are spelt as often as they come; a listed one, which is not spelt itself, shows once how words look
     words = tokens.where(F.col("token") != F.lit(END)).select("token", F.when(F.col("n") >= least, 1).otherwise(F.col("n")).cast("long").alias("n"))
@@ -544,8 +564,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         return ((d, np.repeat(times[d.owner], np.diff(np.concatenate([d.first, [len(d.bits)]])))) for d in byte_decisions(found, table_bits))
 
     byte_counts = sc.broadcast(_context_counts(words, letters, BYTE_TABLES, table_bits))
-    some = words.where(F.pmod(F.xxhash64("token"), F.lit(SAMPLED)) == 0)
-    byte_weights = _weights(some, ["token"], v // SAMPLED, letters, byte_counts, BYTE_LEAD)
+    byte_weights = _weights(words, ["token"], v, letters, byte_counts, BYTE_LEAD)
 
     def worker():
         return Scorer(tree.value, listed_counts.value, Mixer(turn_counts.value.whole(), TURN_LEAD, *turn_weights), table_bits)
