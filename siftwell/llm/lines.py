@@ -3,8 +3,9 @@
 A line's character shingles give a signature; bands of it bring lines together that may be alike.
 Candidates are verified by the exact Jaccard similarity of their shingle sets, links are joined to
 components by distributed union-find, and the first line of each component stays. Equal lines are
-compared once. What is shuffled for the bands is 16 bytes a band and line, packed by bucket; only the
-lines that share a band with another travel themselves.
+compared once. What is shuffled for the bands is 16 bytes a band and line, packed by bucket. Of lines that
+share a band only counts of their shingles by bins travel to it, which bound the similarity from above; the
+lines themselves travel if that bound reaches the least similarity.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from siftwell.llm.common import pinned, prepare, text_of
+from siftwell.llm.common import pinned, prepare, stored, text_of
 from siftwell.llm.graph import components
 
 #: Characters of a shingle, least similarity of a link.
@@ -32,6 +33,10 @@ ROUNDS = (1, 4, BANDS)
 HOT, TILE = 32, 4000
 #: Characters whose signatures are computed together, and band entries that are held at once.
 SWEEP, HELD = 1 << 16, 1 << 20
+#: Rows of small buckets that are paired together.
+TOGETHER = 1 << 12
+#: Shingles of a line are counted in BINS by their hash, up to MOST a bin; pairs whose bounds are looked into at once.
+BINS, MOST, BOUNDED = 128, 255, 1 << 13
 #: Bits of the filter that says which lines may be candidates: at least 16 a candidate, and at most 2**MOST_BITS.
 MOST_BITS = 29
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -63,6 +68,30 @@ def similarities(a: list[str], b: list[str]) -> np.ndarray:
     return n[2] / (n[0] + n[1] - n[2])
 
 
+def binned(lines: list[str]) -> np.ndarray:
+    """``(lines, BINS)``: how many different shingles of each of ``lines`` fall into each bin."""
+    parts, at, size = [np.empty((0, BINS), np.uint8)], 0, 0
+    for i, line in enumerate([*lines, ""]):
+        if i > at and (size + len(line) > SWEEP or i == len(lines)):
+            keys = _different(lines[at:i])
+            places = (keys >> np.uint64(48)).astype(np.int64) * BINS + (keys & np.uint64(BINS - 1)).astype(np.int64)
+            parts.append(np.minimum(np.bincount(places, minlength=(i - at) * BINS), MOST).astype(np.uint8).reshape(-1, BINS))
+            at, size = i, 0
+        size += len(line)
+    return np.concatenate(parts)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether lines of bins ``a`` and ``b`` can have a similarity of LEAST: two lines share at most the lesser count of each bin.
+
+    A bin that is full in both has no bound, and so such a pair passes.
+    """
+    low = np.minimum(a, b)
+    both = low.sum(axis=1, dtype=np.int64)
+    either = a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64) - both
+    return (both >= LEAST * either - 1e-6) | (low == MOST).any(axis=1)
+
+
 def bands(lines: list[str]) -> np.ndarray:
     """Keys (lines, BANDS) of the MinHash signatures of all ``lines``, none of them empty."""
     parts, at, size = [], 0, 0
@@ -282,28 +311,84 @@ def _candidate_lines(shared):
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import md5
 
-        bits = shared.value
-        mask = 32 * len(bits) - 1
         for batch in batches:
             lines = list({line for text in batch.column(0).to_pylist() for line in _with_words(text)})
             h = np.fromiter(map(_hash, lines), np.uint64, len(lines))
-            place = h & np.uint64(mask)
-            hit = np.flatnonzero((bits[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+            hit = _passing(shared.value, h)
             some = [lines[i] for i in hit.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array([md5(x.encode()).digest() for x in some], pa.binary()), pa.array(some, pa.string())], names=["h", "node", "line"])
 
     return choose
 
 
+def _with_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``h, node, line`` to ``h, node, line, bins``."""
+    for batch in batches:
+        bins = pa.array([row.tobytes() for row in binned(batch.column(2).to_pylist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, bins], names=["h", "node", "line", "bins"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, node, root, bins``, sorted by key and node, to the pairs of a key that have different roots and may be similar."""
+    held: pa.Table | None = None
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        keys, nodes = rows["key"].to_numpy(), rows["node"].to_pylist()
+        roots = np.frombuffer(b"".join(rows["root"].to_pylist()), np.uint64).reshape(len(nodes), -1)
+        bins = np.frombuffer(b"".join(rows["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+        found = []
+        for step in range(1, len(nodes)):
+            i = np.flatnonzero(keys[step:] == keys[:-step])
+            if not len(i):
+                break
+            i = i[(roots[i] != roots[i + step]).any(axis=1)]
+            for at in range(0, len(i), BOUNDED):
+                own = i[at : at + BOUNDED]
+                found += [(nodes[k], nodes[k + step]) for k in own[may_be_similar(bins[own], bins[own + step])].tolist()]
+        return _edges(found)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        held = part if held is None else pa.concat_tables([held, part])
+        keys = held["key"].to_numpy()
+        whole = int(np.flatnonzero(keys == keys[-1])[0])  # the last key may go on in the next batch
+        if whole >= TOGETHER:
+            yield pairs(held.slice(0, whole))
+            held = held.slice(whole)
+    if held is not None:
+        yield pairs(held)
+
+
+def _passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes ``h`` (uint64) that are set in the filter."""
+    place = h & np.uint64(32 * len(bits) - 1)
+    return np.flatnonzero((bits[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+
+
+def _lines_of(known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, line`` of ``nodes``, and of few others, so that not all lines travel to a join."""
+    spark = known.sparkSession
+    shared = spark.sparkContext.broadcast(_filter_of(nodes.select(F.xxhash64("node").alias("h"))))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = pa.array(_passing(shared.value, batch.column(0).to_numpy().view(np.uint64)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(hit), batch.column(2).take(hit)], names=["node", "line"])
+
+    return known.select(F.xxhash64("node"), "node", "line").mapInArrow(choose, "node binary, line string")
+
+
 def _linked(members: DataFrame, known: DataFrame, width: int) -> DataFrame:
     """``a, b`` for ``members (key, node, root)``: similar lines with a common key, as far as their roots differ."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     shared = pinned(members.join(sizes.select("key", "n"), "key"))
     # each pair of a small bucket is verified once, in however many buckets it meets
-    lists = shared.where(F.col("n") <= HOT).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("own"))
-    first = F.transform("own", lambda x, i: F.transform(F.filter(F.slice("own", i + 2, HOT), lambda y: y["root"] != x["root"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
-    pairs = lists.select(F.explode(F.flatten(first)).alias("p")).select("p.a", "p.b").distinct()
-    lines = [known.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")) for x in ("a", "b")]
+    cold = shared.where(F.col("n") <= HOT).join(known.select("node", "bins"), "node").select("key", "node", "root", "bins")
+    pairs = pinned(cold.repartition(width, "key").sortWithinPartitions("key", "node").mapInArrow(_close, "a binary, b binary").distinct())
+    some = _lines_of(known, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    lines = [some.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")) for x in ("a", "b")]
     both = pairs.join(lines[1], "b").join(lines[0], "a").select("a", "b", "line_a", "line_b")
     links = pinned(both.mapInArrow(_verify, "a binary, b binary"))
     if shared.where(F.col("n") > HOT).isEmpty():
@@ -312,7 +397,7 @@ def _linked(members: DataFrame, known: DataFrame, width: int) -> DataFrame:
     tiles = F.ceil(F.col("n") / TILE)
     own = F.pmod(F.xxhash64("node"), tiles)
     meet = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda t: F.struct(F.least(t, own).alias("s"), F.greatest(t, own).alias("t")))
-    spread = shared.where(F.col("n") > HOT).select("key", "node", "root", F.explode(F.array_distinct(meet)).alias("tile")).join(known, "node")
+    spread = shared.where(F.col("n") > HOT).select("key", "node", "root", F.explode(F.array_distinct(meet)).alias("tile")).join(known.select("node", "line"), "node")
     groups = spread.select("key", "tile.s", "tile.t", "node", "root", "line").repartition(width, "key", "s", "t").sortWithinPartitions("key", "s", "t")
     return links.unionByName(groups.mapInArrow(_link_sorted, "a binary, b binary"))
 
@@ -336,21 +421,22 @@ def line_roots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     hashes = pinned(shared.select("h").distinct())
     bits = spark.sparkContext.broadcast(_filter_of(hashes))
-    known = pinned(
+    known = stored(
         texts.mapInArrow(_candidate_lines(bits), "h long, node binary, line string")
         .groupBy("node")
         .agg(F.first("h").alias("h"), F.first("line").alias("line"))
         .join(hashes, "h", "left_semi")
+        .select("h", "node", "line")
+        .mapInArrow(_with_bins, "h long, node binary, line string, bins binary")
     )
 
     band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1))
     members = pinned(shared.join(known.select("h", "node"), "h").select("key", "node"))
-    texts_of = known.select("node", "line")
-    roots = components(_linked(members.where(band == 0).withColumn("root", F.col("node")), texts_of, width))
+    roots = components(_linked(members.where(band == 0).withColumn("root", F.col("node")), known, width))
     for low, high in zip(ROUNDS[:-1], ROUNDS[1:], strict=True):
         found = pinned(roots.withColumnRenamed("node", "n"))
         own = members.where((band >= low) & (band < high)).join(found, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        edges = _linked(own, texts_of, width)
+        edges = _linked(own, known, width)
         roots = components(found.select(F.col("n").alias("a"), F.col("root").alias("b")).unionByName(edges))
     return roots
 
