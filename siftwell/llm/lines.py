@@ -37,6 +37,8 @@ SWEEP, HELD = 1 << 16, 1 << 20
 TOGETHER = 1 << 12
 #: Shingles of a line are counted in BINS by their hash, up to MOST a bin; pairs whose bounds are looked into at once.
 BINS, MOST, BOUNDED = 128, 255, 1 << 13
+#: Bits of a line's shingles in a bucket that is linked inside a task; lines that a line is held against at first, and at most, at once.
+BITS, FEW, MANY = 1024, 64, 1 << 14
 #: Bits of the filter that says which lines may be candidates: at least 16 a candidate, and at most 2**MOST_BITS.
 MOST_BITS = 29
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -194,7 +196,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def passed(known: np.ndarray, done: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known keys with a hash each and whether it was passed on, brought up to date, and what passes now."""
-        new = np.unique(new)
+        new = new[np.lexsort((new["h"], new["key"]))]
+        new = new[np.concatenate([[True], (new["key"][1:] != new["key"][:-1]) | (new["h"][1:] != new["h"][:-1])])]
         both = np.concatenate([known, new])
         old = np.concatenate([np.ones(len(known), bool), np.zeros(len(new), bool)])
         done = np.concatenate([done, np.zeros(len(new), bool)])
@@ -234,22 +237,59 @@ def similar(a: set[str], b: set[str]) -> bool:
 
 
 def link_lines(nodes: list, lines: list[str], roots: list) -> list[tuple]:
-    """Edges that, with those of equal ``roots``, join what the similar lines among ``lines`` would join."""
-    sets = [shingles(line) for line in lines]
-    order = sorted(range(len(nodes)), key=lambda i: (len(sets[i]), nodes[i]))
-    sizes = np.array([len(sets[i]) for i in order])
+    """Edges that, with those of equal ``roots``, join what the similar lines among ``lines`` would join.
+
+    A line is held against shorter ones of other components, those of about its length first, many at once: by a
+    bound from bits of their shingles, and if that reaches LEAST by the exact number of common shingles.
+    """
+    different = [_different([line]) for line in lines]
+    sizes = np.fromiter(map(len, different), np.int64, len(lines))
+    order = np.lexsort((np.unique(np.array(nodes, object), return_inverse=True)[1], sizes))
+    sizes = sizes[order]
+    names, ids = np.unique(np.concatenate([different[i] for i in order]), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    bits = _bits(names, ids, sizes)
+    n_bits = np.bitwise_count(bits).sum(axis=0, dtype=np.int64)
     heads: dict = {}
-    group = np.array([heads.setdefault(roots[i], at) for at, i in enumerate(order)])
-    edges = []
-    for at, i in enumerate(order):
-        low = int(np.searchsorted(sizes, LEAST * sizes[at]))
-        for j in (low + np.flatnonzero(group[low:at] != group[at])[::-1]).tolist():
-            if group[j] != group[at] and similar(sets[i], sets[order[j]]):
-                edges.append((nodes[i], nodes[order[j]]))
-                group[group == group[at]] = group[j]
+    group = np.array([heads.setdefault(roots[i], at) for at, i in enumerate(order.tolist())])
+    own, edges = np.zeros(len(names), np.int32), []
+    for at in range(1, len(order)):
+        low, high, step = int(np.searchsorted(sizes, LEAST * sizes[at] - 1e-6)), at, FEW
+        mine = ids[starts[at] : starts[at] + sizes[at]]
+        own[mine] = 1
+        while high > low:
+            first, step = max(low, high - step), min(4 * step, MANY)
+            j, high = np.arange(first, high), first
+            others = group[j] != group[at]
+            if not others.any():
+                continue
+            # a bit that one line alone has is a shingle that the other lacks
+            shared = np.bitwise_count(bits[:, j[0] : j[-1] + 1] & bits[:, at, None]).sum(axis=0, dtype=np.uint16)
+            most = np.minimum(sizes[at] - n_bits[at], sizes[j] - n_bits[j]) + shared
+            j = j[others & (most >= LEAST * (sizes[at] + sizes[j] - most) - 1e-6)][::-1]
+            while len(j):
+                # as many at once as have about SWEEP shingles
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[j]), SWEEP)))
+                part, j = j[:n], j[n:]
+                theirs = np.concatenate([ids[a:z] for a, z in zip(starts[part].tolist(), (starts[part] + sizes[part]).tolist(), strict=True)])
+                both = np.add.reduceat(own[theirs], np.cumsum(sizes[part]) - sizes[part])
+                for k in part[both >= LEAST * (sizes[at] + sizes[part] - both)].tolist():
+                    if group[k] != group[at]:
+                        edges.append((nodes[order[at]], nodes[order[k]]))
+                        group[group == group[at]] = group[k]
+                j = j[group[j] != group[at]]
+        own[mine] = 0
     return edges
 
 
+def _bits(names: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``(BITS / 64, lines)``: bits of the shingles ``ids``, places in their hashes ``names``, of lines of ``sizes``."""
+    place = np.repeat(np.arange(len(sizes)) * BITS, sizes) + (names & np.uint64(BITS - 1)).astype(np.int64)[ids]
+    flags = np.zeros(len(sizes) * BITS, bool)
+    flags[place] = True
+    return np.packbits(flags.reshape(len(sizes), BITS), axis=1).view(np.uint64).T.copy()
+
+
 def _edges(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
