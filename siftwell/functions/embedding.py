@@ -16,7 +16,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from siftwell.session import small_batches
+
 DIMENSIONS = 256
+#: Words whose buckets a worker remembers.
+KNOWN_WORDS = 100_000
 _words = regex.compile(r"[\p{L}\p{N}]+").findall
 
 
@@ -41,7 +45,7 @@ class HashedTerms:
     def bucket(self, word: str) -> int:
         found = self._bucket.get(word)
         if found is None:
-            if len(self._bucket) > 500_000:
+            if len(self._bucket) > KNOWN_WORDS:
                 self._bucket.clear()
             found = self._bucket[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.ndim
         return found
@@ -83,7 +87,13 @@ def embedded(chunks: DataFrame, embedder: Embedder, text_col: str = "chunk_text"
     """``chunks`` with ``embedding array<float>``, encoded batch by batch on the executors."""
     from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+    small_batches(chunks.sparkSession)
     out = StructType([*chunks.schema.fields, StructField("embedding", ArrayType(FloatType()))])
+    return chunks.mapInArrow(encoder(embedder, text_col), out)
+
+
+def encoder(embedder: Embedder, text_col: str):
+    """A worker that adds the vectors of its texts."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,4 +102,4 @@ def embedded(chunks: DataFrame, embedder: Embedder, text_col: str = "chunk_text"
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * embedder.ndim)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, flat)], names=[*batch.schema.names, "embedding"])
 
-    return chunks.mapInArrow(encode, out)
+    return encode

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import ZERO_WIDTH
-from siftwell.session import ensure_checkpoint_dir
+from siftwell.session import ensure_checkpoint_dir, small_batches
 
 _token = re.compile("[^ \t\n\r\f]+")
 _zero_width = str.maketrans("", "", ZERO_WIDTH)
@@ -88,35 +88,72 @@ class TokenizerChunker(WordChunker):
         return self.tokenizer.decode(tokens, skip_special_tokens=True)
 
 
+#: Characters of windows that a worker hands on together.
+HELD = 1 << 20
 CHUNK_COLUMNS = "chunk_no int, chunk_text string, start_char_offset int, end_char_offset int, token_count int"
 
 
 def chunked(files: DataFrame, chunker: TokenChunker | None = None, text_col: str = "text", keep: tuple[str, ...] = ("file_id", "file_path")) -> DataFrame:
     """One row per window of each file: the ``keep`` columns and those of a chunk, numbered from 0."""
+    narrow = _texts(files, text_col, keep)
+    out = chunk_schema(narrow)
+    return narrow.mapInArrow(cutter(chunker or WordChunker(), out.names), out)
+
+
+def _texts(files: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """The ``keep`` columns and ``_text`` of the files that have one."""
+    small_batches(files.sparkSession)
+    return files.select(*keep, F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+
+
+def chunk_schema(narrow: DataFrame):
     from pyspark.sql.types import StructType
 
-    chunker = chunker or WordChunker()
-    narrow = files.select(*keep, F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    out = StructType([*narrow.schema.fields[:-1], *StructType.fromDDL(CHUNK_COLUMNS).fields])
+    return StructType([*narrow.schema.fields[:-1], *StructType.fromDDL(CHUNK_COLUMNS).fields])
+
+
+def cutter(chunker: TokenChunker, names: list[str]):
+    """A worker that cuts the texts in the last column; it hands on windows once they hold HELD characters."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # a few texts at a time, as one text gives many windows
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                rows = [(i, n, c) for i, t in enumerate(part.column(part.num_columns - 1).to_pylist()) for n, c in enumerate(chunker.chunk(t))]
-                at = pa.array([i for i, _, _ in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[part.column(k).take(at) for k in range(part.num_columns - 1)],
-                        pa.array([n for _, n, _ in rows], pa.int32()), pa.array([c.text for _, _, c in rows], pa.string()),
-                        pa.array([c.start for _, _, c in rows], pa.int32()), pa.array([c.end for _, _, c in rows], pa.int32()),
-                        pa.array([c.tokens for _, _, c in rows], pa.int32()),
-                    ],
-                    names=out.names,
-                )
-
-    return narrow.mapInArrow(cut, out)
+            rows, held = [], 0
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+                for n, c in enumerate(chunker.chunk(text.as_py())):
+                    rows.append((i, n, c))
+                    held += len(c.text)
+                    if held >= HELD:
+                        yield _cut_rows(batch, rows, names)
+                        rows, held = [], 0
+            if rows:
+                yield _cut_rows(batch, rows, names)
+
+    return cut
+
+
+def _cut_rows(batch: pa.RecordBatch, rows: list[tuple[int, int, Chunk]], names: list[str]) -> pa.RecordBatch:
+    at = pa.array([i for i, _, _ in rows], pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [
+            *[batch.column(k).take(at) for k in range(batch.num_columns - 1)],
+            pa.array([n for _, n, _ in rows], pa.int32()), pa.array([c.text for _, _, c in rows], pa.string()),
+            pa.array([c.start for _, _, c in rows], pa.int32()), pa.array([c.end for _, _, c in rows], pa.int32()),
+            pa.array([c.tokens for _, _, c in rows], pa.int32()),
+        ],
+        names=names,
+    )
+
+
+def chunk_counts(files: DataFrame, chunker: TokenChunker, text_col: str = "text") -> DataFrame:
+    """``file_path, n``: windows of each file; no window leaves its worker."""
+    narrow = _texts(files, text_col, ("file_path",))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(chunker.chunk(text.as_py())) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["file_path", "n"])
+
+    return narrow.mapInArrow(count, "file_path string, n long").groupBy("file_path").agg(F.sum("n").alias("n"))
 
 
 def window_starts(n_tokens: Column, size: int, overlap: int) -> Column:
@@ -130,9 +167,15 @@ def labelled(chunks: DataFrame, base: int | Column = 0) -> DataFrame:
     Files are ordered over all partitions: range-partitioned, summed within each partition, and moved
     by the totals of the partitions before; no task sees all files.
     """
-    spark = chunks.sparkSession
+    first = first_labels(chunks.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")))
+    start = base if isinstance(base, Column) else F.lit(base)
+    return chunks.join(first, "file_path").withColumn("label", (F.col("first") + F.col("chunk_no") + start).cast("long")).drop("first")
+
+
+def first_labels(per_file: DataFrame) -> DataFrame:
+    """``file_path, first`` for ``per_file (file_path, n)``: the chunks of the files before, in the order of file path."""
+    spark = per_file.sparkSession
     ensure_checkpoint_dir(spark)
-    per_file = chunks.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_files = per_file.repartitionByRange(width, "file_path").withColumn("part", F.spark_partition_id()).checkpoint()
     totals = {r["part"]: r["n"] for r in sorted_files.groupBy("part").agg(F.sum("n").alias("n")).collect()}
@@ -142,9 +185,7 @@ def labelled(chunks: DataFrame, base: int | Column = 0) -> DataFrame:
         before += totals[part]
     offsets = spark.createDataFrame(moved, "part int, before long")
     running = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = sorted_files.withColumn("running", running).join(F.broadcast(offsets), "part").select("file_path", (F.col("before") + F.col("running")).alias("first"))
-    start = base if isinstance(base, Column) else F.lit(base)
-    return chunks.join(first, "file_path").withColumn("label", (F.col("first") + F.col("chunk_no") + start).cast("long")).drop("first")
+    return sorted_files.withColumn("running", running).join(F.broadcast(offsets), "part").select("file_path", (F.col("before") + F.col("running")).alias("first"))
 
 
 def next_label(stored: Column, highest: Column) -> Column:

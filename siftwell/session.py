@@ -42,6 +42,15 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
 
 
+#: Rows that go to a Python worker at once; what a worker holds follows from it, not from the size of the table.
+ARROW_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ARROW_ROWS rows for operators whose rows hold texts or vectors."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
