@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.errors import VectorStoreError
+from siftwell.session import ARROW_ROWS, small_batches
 
 METRICS = ("cos", "ip", "l2sq")
 
@@ -78,26 +79,79 @@ def nearest(vectors: DataFrame, query, k: int = 5, metric: str = "cos", label_co
     """
     from pyspark.sql.types import StructType
 
+    small_batches(vectors.sparkSession)
     q = check_query(query, None, k)
-    narrow = vectors.select(F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("_vector"), *keep)
-    shape = StructType([narrow.schema["label"], *StructType.fromDDL("score double").fields, *[narrow.schema[c] for c in keep]])
+    narrow = vectors.select(F.col(label_col).cast("long").alias("label"), *keep, F.col(vector_col).alias("_vector"))
+    shape = StructType([*narrow.schema.fields[:-1], *StructType.fromDDL("score double").fields])
+    ranked = narrow.mapInArrow(best_of_task(q, k, metric, "_vector", ("label",)), shape).orderBy(F.desc("score"), "label").limit(k)
+    return ranked.select("label", F.round("score", 6).alias("score"), *keep)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
 
-        def pruned(table: pa.Table) -> pa.Table:
-            return table.take(np.lexsort((table["label"].to_numpy(), -table["score"].to_numpy()))[:k])
+#: Rows that a task gathers before it looks for its best anew.
+GATHERED = 4096
+
+
+def best_of_task(q: np.ndarray, k: int, metric: str, vector_col: str, order: tuple[str, ...]):
+    """A worker that puts ``score`` in the place of the vectors and hands on its best ``k`` rows, by score and then ``order``."""
+    import pyarrow.compute as pc
+
+    keys = [("score", "descending"), *[(c, "ascending") for c in order]]
 
+    def pruned(parts: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(parts)
+        return table.take(pc.sort_indices(table, sort_keys=keys)[:k])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        kept = fresh = 0
         for batch in batches:
             if batch.num_rows:
-                found = scores(_matrix(batch.column(1), q.shape[1]), q, metric)[:, 0]
-                own = pa.Table.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names=shape.names)
-                held = pruned(pa.concat_tables([t for t in (held, pruned(own)) if t is not None]))
-        if held is not None:
-            yield from held.combine_chunks().to_batches()
+                at = batch.schema.get_field_index(vector_col)
+                found = scores(_matrix(batch.column(at), q.shape[1]), q, metric)[:, 0]
+                own = pa.Table.from_batches([batch]).drop_columns([vector_col]).append_column("score", pa.array(found))
+                # a batch gives its own best at most, copied so that the batch can go
+                held.append(pruned([own]))
+                fresh += len(held[-1])
+                if fresh >= max(GATHERED, kept):
+                    held = [pruned(held)]
+                    kept, fresh = len(held[0]), 0
+        if held:
+            yield from pruned(held).combine_chunks().to_batches()
+
+    return best
+
+
+def nearest_chunks(files: DataFrame, chunker, embedder, query, k: int = 5, metric: str = "cos", keep: tuple[str, ...] = ("file_id", "file_path")) -> DataFrame:
+    """``score, label``, the columns of a chunk and the ``keep`` columns of the ``k`` best chunks of ``files``, by score and then label.
+
+    A file is cut, embedded and scored by one worker, from which only the best ``k`` of its task go on, in the order of
+    file path and chunk number, which is that of labels; so labels are needed for the winners alone.
+    """
+    from pyspark.sql.types import StructType
+
+    from siftwell.functions.embedding import encoder
+    from siftwell.operators.chunking import _texts, chunk_counts, chunk_schema, cutter, first_labels
+
+    q = check_query(query, None, k)
+    narrow = _texts(files.where("file_path is not null"), "text", keep)
+    out = chunk_schema(narrow)
+    cut, encode, best = cutter(chunker, out.names), encoder(embedder, "chunk_text"), best_of_task(q, k, metric, "embedding", ("file_path", "chunk_no"))
+    shape = StructType([*out.fields, *StructType.fromDDL("score double").fields])
+    found = narrow.mapInArrow(lambda batches: best(encode(_split(cut(batches)))), shape)
+    winners = found.orderBy(F.desc("score"), "file_path", "chunk_no").limit(k)
+    firsts = first_labels(chunk_counts(files, chunker))
+    few = F.broadcast(winners) if k <= BROADCAST_WINNERS else winners
+    return firsts.join(few, "file_path").select(F.round("score", 6).alias("score"), (F.col("first") + F.col("chunk_no")).cast("long").alias("label"), *[c for c in out.names])
+
+
+#: Winners up to this many are broadcast to find their labels.
+BROADCAST_WINNERS = 10_000
+
 
-    ranked = narrow.mapInArrow(best, shape).orderBy(F.desc("score"), "label").limit(k)
-    return ranked.withColumn("score", F.round("score", 6))
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ARROW_ROWS):
+            yield batch.slice(at, ARROW_ROWS)
 
 
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cos", label_col: str = "label", vector_col: str = "embedding", query_rows: int = 10_000) -> DataFrame:
@@ -107,6 +161,7 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 5, metric:
     the driver's side one after another, so that any number of them fits. Each task keeps its best ``k``
     a query before anything moves. Ranks go by scores to 9 places; 6 are returned.
     """
+    small_batches(vectors.sparkSession)
     narrow = vectors.select(F.col(label_col).cast("long"), F.col(vector_col))
 
     def of_block(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:

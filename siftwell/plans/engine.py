@@ -13,7 +13,7 @@ from siftwell.errors import IndexerError
 from siftwell.functions.embedding import Embedder, HashedTerms, embedded
 from siftwell.operators.chunking import TokenChunker, WordChunker, chunked, labelled
 from siftwell.operators.searching import results
-from siftwell.operators.vectors import nearest
+from siftwell.operators.vectors import nearest, nearest_chunks
 from siftwell.plans.sync import Totals, sync
 from siftwell.sources.extract import PlainExtractor, TextExtractor
 from siftwell.sources.files import gather, gather_all, path_rows, read_files, read_paths
@@ -36,7 +36,8 @@ class Engine:
 
     def search_files(self, files: DataFrame, query: str, k: int = DEFAULT_TOP, min_score: float = DEFAULT_MIN_SCORE, paths: list[str] | None = None, keyword: str | None = None) -> DataFrame:
         """Results of ``query`` over the chunks of ``files``, none of which is stored."""
-        return self.search_chunks(self.indexed(files), files, query, k, min_score, paths, keyword)
+        vector = self.embedder.encode([query], query=True)[0]
+        return results(nearest_chunks(files, self.chunker, self.embedder, vector, k, self.metric), None, files, min_score, paths, keyword, k)
 
     def search_chunks(self, chunks: DataFrame, files: DataFrame, query: str, k: int = DEFAULT_TOP, min_score: float = DEFAULT_MIN_SCORE, paths: list[str] | None = None, keyword: str | None = None) -> DataFrame:
         vector = self.embedder.encode([query], query=True)[0]
